@@ -49,3 +49,10 @@ def hashed_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows: the check made before a broadcast."""
     return df.limit(rows + 1).count() <= rows
+
+
+def lean_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Keep the Arrow batches sent to Python workers small: texts are whole and may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
