@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pipetally.llm import decontaminate, licenses, mixing, simhash
+from pipetally.llm import decontaminate, licenses, mixing, quality, simhash
 
-MODULES = (simhash, decontaminate, mixing, licenses)
+MODULES = (simhash, decontaminate, mixing, licenses, quality)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in getattr(m, "ORACLES", {}).items()}
