@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pipetally.llm import decontaminate, licenses, mixing, quality, simhash, token_files
+from pipetally.llm import decontaminate, langid, licenses, mixing, quality, simhash, token_files, topk
 
-MODULES = (simhash, decontaminate, mixing, licenses, quality, token_files)
+MODULES = (simhash, decontaminate, mixing, licenses, quality, token_files, langid, topk)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in getattr(m, "ORACLES", {}).items()}

@@ -41,7 +41,10 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    width = np.maximum(np.searchsorted(_LIMITS, ids, side="right") + 1, 1).astype(np.uint8)
+    if ids.max() < 1 << 53:  # exact as floats, whose exponent is the width
+        width = np.maximum(np.frexp(ids.astype(np.float64))[1], 1).astype(np.uint8)
+    else:
+        width = (np.searchsorted(_LIMITS, ids, side="right") + 1).astype(np.uint8)
     best = _packable(width)
     step, at, i = COUNTS[best].tolist(), [], 0
     while i < n:

@@ -29,8 +29,8 @@ from pipetally.llm.shared import fresh_path, lean_batches, written
 
 MAGIC, BLOCK_IDS, SHARD_IDS = b"PTS8B001", 16_384, 4_000_000
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
-#: Encoded pieces that a worker remembers; then it starts afresh.
-REMEMBERED = 600_000
+#: Encoded words, and pieces of words, that a worker remembers (about 150 bytes each); then it starts afresh.
+REMEMBERED = 1_500_000
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _LATIN = re.compile(r"[\x21-\x7e\xa1-\xff]+")
@@ -71,9 +71,9 @@ class WordEncoder:
         for w in set(words).difference(seen):
             seen[w] = self._word(w)
         out = np.frombuffer(b"".join([seen[w] for w in words]), dtype="<u4")
-        if len(seen) + len(self.pieces) > REMEMBERED:
-            seen.clear()
-            self.pieces.clear()
+        for held in (seen, self.pieces):
+            if len(held) > REMEMBERED:
+                held.clear()
         return out
 
 
@@ -198,7 +198,8 @@ def read_token_files(files: DataFrame, path: str) -> DataFrame:
                     pa.array([zlib.crc32(t.astype("<u4").tobytes()) for t in texts], pa.int64()),
                 ], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = files.select("file", "start").repartition(F.col("file"))
+    n = files.count()  # AQE would gather a list of names into one task
+    spread = files.select("file", "start").repartition(max(1, min(n, 10_000)), "file")
     return spread.mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
