@@ -12,6 +12,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -29,14 +30,23 @@ from pipetally.llm.shared import fresh_path, lean_batches, written
 
 MAGIC, BLOCK_IDS, SHARD_IDS = b"PTS8B001", 16_384, 4_000_000
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
-#: Encoded words, and pieces of words, that a worker remembers (about 150 bytes each); then it starts afresh.
-REMEMBERED = 1_500_000
+#: Encoded words and pieces of words that a worker remembers (about 200 bytes each); then it starts afresh.
+WORDS, PIECES = 600_000, 900_000
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _LATIN = re.compile(r"[\x21-\x7e\xa1-\xff]+")
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
 
 
+def _latin(text: str) -> bool:
+    """Whether all of a text is Latin-1, which lower-cases character by character."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer that lower-cases, drops white space and never joins across it.
 
@@ -50,7 +60,7 @@ class WordEncoder:
         self.pieces: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
         # Latin-1 is in normal form, and lower-casing keeps its letters letters; special tokens hold "<|"
@@ -67,14 +77,23 @@ class WordEncoder:
     def encode(self, text: str) -> np.ndarray:
         if _ODD_SPACE.search(text):
             return np.frombuffer(self._plain(text), dtype="<u4")
+        if "<|" not in text and _latin(text):
+            text = text.lower()  # as the tokenizer would; fewer distinct words
         words, seen = text.split(), self.words
-        for w in set(words).difference(seen):
-            seen[w] = self._word(w)
-        out = np.frombuffer(b"".join([seen[w] for w in words]), dtype="<u4")
-        for held in (seen, self.pieces):
-            if len(held) > REMEMBERED:
-                held.clear()
-        return out
+        out = list(map(seen.get, words))
+        at = -1
+        for _ in range(out.count(None)):
+            at = out.index(None, at + 1)
+            w = words[at]
+            ids = seen.get(w)
+            if ids is None:
+                ids = seen[w] = self._word(w)
+            out[at] = ids
+        if len(seen) > WORDS:
+            seen.clear()
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
+        return np.frombuffer(b"".join(out), dtype="<u4")
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
