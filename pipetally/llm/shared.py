@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
@@ -52,7 +55,9 @@ def small_enough(df: DataFrame, rows: int) -> bool:
 
 
 def lean_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep the Arrow batches sent to Python workers small: texts are whole and may be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, rows)
+    """Keep the Arrow batches sent to Python workers small: texts are whole and may be long.
+
+    Workers also look for this package where the driver has it; on a cluster submit it with --py-files.
+    """
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pipetally.llm.shared import written
+from pipetally.llm.shared import lean_batches, written
 
 #: Vectors in a bucket, queries in a block (each of these is one row of arrays), and the cosine from which coordinates prune.
 BUCKET, BLOCK, BY_COORDINATE = 2048, 512, 0.8
@@ -112,8 +112,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bucket: int = BUCK
     give an empty result.  Query blocks meet buckets by the bucket's number, never row by row.
     """
     spark = vectors.sparkSession
-    # a block row is as large as many ordinary ones
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(8, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
+    lean_batches(spark, 8)  # a block row is as large as many ordinary ones
     vectors = written(vectors, "vectors")
     n, nq = vectors.count(), queries.count()
     steps = max(1, n // bucket)
