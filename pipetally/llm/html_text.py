@@ -78,9 +78,11 @@ def _marks(name: str, attrs: str) -> tuple[bool, bool]:
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             apart = True
         elif key in ("class", "id", "role"):
-            parts = {p.lower() for p in _PART.findall(value)}
-            apart = apart or not parts.isdisjoint(APART)
-            layout = layout or not parts.isdisjoint(LAYOUT)
+            for one in value.split():
+                parts = [p.lower() for p in _PART.findall(one)]
+                if parts and parts[0] not in ("no", "has", "with", "without"):
+                    apart = apart or not APART.isdisjoint(parts)
+                    layout = layout or not LAYOUT.isdisjoint(parts)
     if name in ("html", "body", "main"):
         return False, False
     return apart, layout and name != "article"
@@ -188,6 +190,8 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[_Block]]:
             while e is not None:
                 if name != "article" or not e.apart:
                     e.layout = e.layout and e.name == "header" and name == "h1"
+                if e.apart and name != "h1" and (e.name == "form" or name == "main" and e.name not in OUTSIDE):
+                    e.apart = False  # a form or a marked wrapper around the whole page
                 e = e.up
         if name not in VOID and not (tag[3] or "").endswith("/") and at.depth < DEEPEST:
             apart, layout = _marks(name, tag[3])

@@ -47,6 +47,7 @@ CASES = {
     "just text &lt;&nbsp;nothing else": "just text < nothing else",
     "<div class='cookie-notice'>We use cookies on this site and more</div><article><p>Body words</p><!-- <p>no</p> --><style>p{}</style></article>": "Body words",
     "<a title='x>y' href=b>link</a> text <b attr=\"unclosed> more</b> rest of it": "link text more rest of it",
+    "<form id=all><div class='no-comments'><article><p>whole page in a form</p><form>x</form></article></div></form>": "whole page in a form",
     "<article><p>one<p>two<table><tr><td>a<td>b<tr><td>c</table>": "one\ntwo\na\nb\nc",
 }
 
