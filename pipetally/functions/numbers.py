@@ -32,7 +32,7 @@ def pages_of(total: Column, limit: int) -> Column:
 
 def leading_int(s: Column) -> Column:
     """The integer a text starts with; null if there is none."""
-    return F.expr("int(null)") if s is None else F.nullif(F.regexp_extract(s, r"^\s*([+-]?[0-9]+)", 1), F.lit("")).try_cast("int")
+    return F.nullif(F.regexp_extract(s, r"^\s*([+-]?[0-9]+)", 1), F.lit("")).try_cast("int")
 
 
 def normalised(values: Column, height: float = 32.0) -> Column:
