@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from pipetally.functions.dates import date_windows
 from pipetally.functions.numbers import pct_change, ratio_pct
-from pipetally.operators.aggregates import count_if, valid_day, weekly_profile
+from pipetally.operators.aggregates import count_if, valid_day
 from pipetally.operators.changes import column_or
 
 # The goals of a tenant who set none.
@@ -36,14 +36,20 @@ def _halves(trend: Column) -> tuple[Column, Column]:
     return add(F.slice(trend, 8, 7)), add(F.slice(trend, 1, 7))
 
 
-def _streaks(daily: DataFrame, goals: DataFrame, as_of: Column) -> DataFrame:
-    """(user_id, streak, streak_before): days in a row up to today, and up to yesterday."""
-    met = daily.join(goals, "user_id").filter((F.col("n") >= F.col("daily_goal")) & (F.col("daily_goal") > 0) & (F.col("day") <= as_of))
-    # days of one run share day minus rank, so a run is found once for both anchors
-    run = met.withColumn("run", F.date_sub("day", F.row_number().over(W.partitionBy("user_id").orderBy("day"))))
-    runs = run.groupBy("user_id", "run").agg(F.max("day").alias("last"), F.min("day").alias("first"))
-    upto = lambda anchor: F.coalesce(F.max(F.when((F.col("last") >= anchor) & (F.col("first") <= anchor), F.datediff(anchor, F.col("first")) + 1)), F.lit(0)).cast("bigint")
-    return runs.groupBy("user_id").agg(upto(as_of).alias("streak"), upto(F.date_sub(as_of, 1)).alias("streak_before"))
+def _with_weeks_and_runs(daily: DataFrame, as_of: Column) -> DataFrame:
+    """``daily`` (with daily_goal) with its week's count, the week's place from the last, and places in runs of met goals.
+
+    All windows are within a tenant, so one shuffle by tenant serves them and the aggregate after.
+    """
+    day, tenant = F.col("day"), W.partitionBy("user_id")
+    met = F.coalesce((F.col("n") >= F.col("daily_goal")) & (F.col("daily_goal") > 0) & (day <= as_of), F.lit(False))
+    rows = daily.withColumns({"wk": F.trunc(day, "week"), "met": met})
+    rows = rows.withColumn("wk_back", F.dense_rank().over(tenant.orderBy(F.desc_nulls_last("wk"))))
+    week, run = W.partitionBy("user_id", "wk"), W.partitionBy("user_id", "met")
+    return rows.withColumns({
+        "wk_n": F.sum("n").over(week), "wk_first": day.isNotNull() & (F.row_number().over(week.orderBy("day")) == 1),
+        "back": F.row_number().over(run.orderBy(F.desc("day"))) - 1, "today_met": F.max(F.when(day == as_of, 1).otherwise(0)).over(run),
+    })
 
 
 def kpi_base(apps: DataFrame, tasks: DataFrame, rounds: DataFrame, profiles: DataFrame, as_of: Column, now: Column) -> DataFrame:
@@ -51,24 +57,27 @@ def kpi_base(apps: DataFrame, tasks: DataFrame, rounds: DataFrame, profiles: Dat
     w = date_windows(as_of)
     applied = count_if(F.col("status") == "Applied")
     daily = apps.groupBy("user_id", valid_day("application_date").alias("day")).agg(F.count("*").alias("n"), applied.alias("applied"))
+    goals = profiles.select(
+        F.col("id").alias("user_id"), column_or(profiles, "daily_application_goal", DAILY_GOAL).cast("bigint").alias("daily_goal"),
+        column_or(profiles, "monthly_application_goal", MONTHLY_GOAL).cast("bigint").alias("monthly_goal"),
+    )
+    daily = _with_weeks_and_runs(daily.join(goals.select("user_id", "daily_goal"), "user_id"), as_of)
     day = F.col("day")
+    week = F.when(F.col("wk_first"), F.struct(F.col("wk_n").alias("n"), (-F.datediff("wk", F.lit("1970-01-01").cast("date"))).alias("o"), "wk"))
     old, before = day <= F.date_sub(as_of, 14), day.between(F.date_sub(as_of, 28), F.date_sub(as_of, 15))
     a = daily.groupBy("user_id").agg(
         F.sum("n").cast("bigint").alias("total"), F.sum("applied").cast("bigint").alias("applied"), *[_sum_if("n", day.between(lo, hi)).alias(k) for k, (lo, hi) in w.items()],
         _sum_if("n", old).alias("old"), _sum_if("applied", old).alias("silent"), _sum_if("n", before).alias("before"), _sum_if("applied", before).alias("silent_before"), _trend(as_of).alias("trend"),
+        F.max(week).alias("best"), F.avg(F.when(F.col("wk_first") & (F.col("wk_back") <= 8), F.col("wk_n"))).alias("recent_mean"),
+        count_if(F.col("met") & (F.datediff(as_of, day) == F.col("back"))).alias("streak"),
+        count_if(F.col("met") & (day < as_of) & (F.datediff(as_of, day) - 1 == F.col("back") - F.col("today_met"))).alias("streak_before"),
     )
-    dated = daily.filter("day is not null")
-    weeks = weekly_profile(dated.select("user_id", "day", "n")).withColumnRenamed("change", "week_change")
-    goals = profiles.select(
-        F.col("id").alias("user_id"), column_or(profiles, "daily_application_goal", DAILY_GOAL).cast("bigint").alias("daily_goal"),
-        column_or(profiles, "monthly_application_goal", MONTHLY_GOAL).cast("bigint").alias("monthly_goal"),
-    )
+    a = a.withColumns({"best_week": F.col("best.wk"), "best_n": F.col("best.n"), "week_change": pct_change(F.col("best.n"), F.col("recent_mean"))}).drop("best", "recent_mean")
     t = tasks.groupBy("user_id", valid_day("created_at").alias("day")).agg(F.count("*").alias("n"), count_if(F.col("status") == "Pending").alias("pending"))
     t = t.groupBy("user_id").agg(F.sum("pending").cast("bigint").alias("pending_tasks"), _trend(as_of).alias("task_trend"))
     r = rounds.groupBy("user_id", valid_day("scheduled_date").alias("day")).agg(F.count("*").alias("n"), count_if(F.col("scheduled_date") >= now).alias("upcoming"))
     r = r.groupBy("user_id").agg(F.sum("upcoming").cast("bigint").alias("upcoming"), _trend(as_of).alias("round_trend"))
-    out = goals.join(a, "user_id", "left").join(weeks, "user_id", "left").join(_streaks(dated, goals.select("user_id", "daily_goal"), as_of), "user_id", "left")
-    out = out.join(t, "user_id", "left").join(r, "user_id", "left")
+    out = goals.join(a, "user_id", "left").join(t, "user_id", "left").join(r, "user_id", "left")
     numbers = ["total", "applied", *w, "old", "silent", "before", "silent_before", "best_n", "streak", "streak_before", "pending_tasks", "upcoming", "week_change"]
     zeros = F.array_repeat(F.lit(0).cast("bigint"), TREND_DAYS)
     return out.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in numbers} | {c: F.coalesce(c, zeros) for c in ("trend", "task_trend", "round_trend")})
