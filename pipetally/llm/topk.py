@@ -19,6 +19,8 @@ from pipetally.llm.shared import lean_batches, written
 
 #: Vectors in a bucket, queries in a block (each of these is one row of arrays), and the cosine from which coordinates prune.
 BUCKET, BLOCK, BY_COORDINATE = 2048, 512, 0.8
+#: Ranges of length at most; vectors of one range are dealt into its buckets by a hash of the id.
+RANGES = 1024
 #: Products up to here are exact in doubles.
 _EXACT = 2.0**52
 
@@ -115,16 +117,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bucket: int = BUCK
     lean_batches(spark, 8)  # a block row is as large as many ordinary ones
     vectors = written(vectors, "vectors")
     n, nq = vectors.count(), queries.count()
-    steps = max(1, n // bucket)
+    steps = max(1, min(RANGES, n // bucket))
     cuts = vectors.agg(F.percentile_approx("norm", [i / steps for i in range(1, steps)] or [0.5], 10_000).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))
     by_norm = F.lit(len(cuts)) - F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c <= F.col("norm"))) if cuts else F.lit(0)
     dealt = vectors.withColumn("g", by_norm)
-    # equal lengths cannot be cut: a large group is dealt on by a hash of the id
-    sizes = dealt.groupBy("g").count().select("g", F.ceil(F.col("count") / bucket).cast("int").alias("parts"))
-    dealt = dealt.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-    blocks = written(_blocked(dealt, ["g", "part"]).withColumn("b", F.row_number().over(W.orderBy("g", "part", "dim")) - 1), "buckets")
-    n_blocks = blocks.count()
+    sizes, before, dealing = dealt.groupBy("g").count().collect(), 0, []  # one row a range of lengths
+    for r in sorted(sizes):
+        dealing.append((r["g"], max(1, -(-r["count"] // bucket)), before))
+        before += dealing[-1][1]
+    dealing = F.broadcast(spark.createDataFrame(dealing, "g int, parts int, first int"))
+    dealt = dealt.join(dealing, "g").withColumn("b", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int"))
+    blocks, n_blocks = written(_blocked(dealt, ["b"]), "buckets"), before
     q = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-nq // block)))))
     q = _blocked(q, ["part"]).select("part", "dim", F.col("vec_id").alias("q_id"), F.col("norm").alias("q_norm"), F.col("v").alias("qv"))
     q = written(q, "queries")
@@ -133,8 +137,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bucket: int = BUCK
         order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
-    first = blocks.groupBy("dim").agg(F.min("b").alias("b"))
-    first = blocks.join(first.select("b"), "b").select("dim", "vec_id", "norm", "v")
+    first = blocks.join(blocks.groupBy("dim").agg(F.min("b").alias("b")), ["dim", "b"]).select("dim", "vec_id", "norm", "v")
     none = F.transform("q_id", lambda _: F.lit(None).cast("double"))
     seeds = written(best(_search(q.join(first, "dim").withColumn("least", none), k)), "seeds")
     kth = seeds.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("s"))
