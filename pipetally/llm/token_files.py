@@ -31,13 +31,24 @@ from pipetally.llm.shared import fresh_path, lean_batches, written
 MAGIC, BLOCK_IDS, SHARD_IDS = b"PTS8B001", 16_384, 4_000_000
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 #: Encoded words and pieces of words that a worker remembers (about 200 bytes each); then it starts afresh.
-WORDS, PIECES = 600_000, 900_000
+WORDS, PIECES = 500_000, 600_000
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _LATIN = re.compile(r"[\x21-\x7e\xa1-\xff]+")
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
 
 
+def _byte_letters() -> dict[int, str]:
+    """Each Latin-1 character as the letters that byte-level BPE writes for its UTF-8 bytes."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # these bytes stand for themselves
+    letter = {b: chr(b) for b in shown}
+    letter |= {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in letter)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
+
+
+_LETTERS = _byte_letters()
+
+
 def _latin(text: str) -> bool:
     """Whether all of a text is Latin-1, which lower-cases character by character."""
     try:
@@ -56,6 +67,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -70,7 +82,8 @@ class WordEncoder:
         for p in _PIECE.findall(word.lower()):
             ids = self.pieces.get(p)
             if ids is None:
-                ids = self.pieces[p] = self._plain(p)
+                # a piece is what the tokenizer's own pattern finds, so the model alone can encode it
+                ids = self.pieces[p] = array("I", [t.id for t in self.model.tokenize(p.translate(_LETTERS))]).tobytes()
             out.append(ids)
         return b"".join(out)
 
