@@ -328,7 +328,7 @@ def kpi_table(spark, d):
     return _kpis(spark, d)
 
 
-@query(None)
+@query(f"select user_id, cast(to_json(list({{'ord': ord, 'id': id, 'value_text': value_text, 'change_pct': change_pct, 'trend': trend}} order by ord)) as varchar) body from ({_kpi_sql()}) group by 1")
 def kpi_json(spark, d):
     return kpi.kpi_json(_kpis(spark, d))
 
