@@ -1,6 +1,6 @@
 """Licence scans: a trained paragraph classifier, in DataFrame and SQL functions only.
 
-A paragraph is a line of the text.  One that holds a licence cue is scored by a sparse multinomial
+A paragraph is a line of the text.  Every one with words is scored by a sparse multinomial
 logistic regression over hashed word 1- to 3-grams, which is trained here on the notices below
 (whole, cut short, and inside other words) against ordinary paragraphs.  The unknown class is
 calibrated on ordinary paragraphs kept out of training: a family needs a probability above nearly
@@ -29,29 +29,33 @@ NOTICES = {
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
             "Released under the BSD License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
             "SPDX-License-Identifier: BSD-3-Clause"],
-    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
+    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "Released under CC BY 4.0."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc0": ["Released into the public domain under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0."],
     "gpl": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 2.",
             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
-            "SPDX-License-Identifier: GPL-3.0-or-later"],
+            "Distributed under the GPL v3.", "SPDX-License-Identifier: GPL-3.0-or-later"],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
             "Released under the ISC License."],
     "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1.",
              "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation."],
     "mit": ["Released under the MIT License.", "Licensed under the MIT license.",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+            "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
             "SPDX-License-Identifier: MIT"],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "proprietary": ["Copyright. All rights reserved. No part of this publication may be reproduced or distributed in any form without prior written permission of the publisher."],
+    "proprietary": ["Copyright. All rights reserved. No part of this publication may be reproduced or distributed in any form without prior written permission of the publisher.",
+                    "All rights reserved."],
     "unlicense": ["This is free and unencumbered software released into the public domain."],
 }
-#: A licence paragraph holds one of these, by definition; each notice above does.
+#: Paragraphs that hold one of these are reported even if their licence is unknown; they choose nothing else of what is scored.
 CUES = r"(?i)licen[cs]|redistribut|copyright|public domain|permission (to|is)"
 #: Words around a notice in training, so that no single one of them decides.
 AROUND = ["", "note that", "see also", "this file is", "please read", "the text below applies", "unless stated otherwise"]
 UNKNOWN = "unknown"
+#: A notice of fewer word pairs trains, but is too short to confirm a prediction.
+LEAST_PAIRS = 3
 #: Hashed features; ordinary paragraphs for training and calibration (the bound of the sample); least similarity.
 FEATURES, SAMPLE_DOCS, SIMILARITY = 1 << 13, 2000, 0.6
 
@@ -101,6 +105,9 @@ class LicenceClassifier:
         cut = tw.filter(n > 9).select("family", F.explode(F.array(F.slice("tw", F.lit(1), F.ceil(n * 0.7).cast("int")), F.slice("tw", (n * 0.3).cast("int") + 1, n))).alias("w"))
         plain = hashed_sample(docs.filter("text is not null").select("doc_id", "text"), "text", sample, seed)
         plain = paragraphs(plain).filter(~F.col("line").rlike(CUES)).select(words_of(F.col("line")).alias("w")).filter("size(w) > 0").distinct()
+        held = F.concat(F.lit(" "), F.concat_ws(" ", "w"), F.lit(" "))
+        for r in tw.select(F.concat_ws(" ", "tw").alias("t")).collect():  # the constants above
+            plain = plain.filter(~held.contains(f" {r.t} "))
         plain = written(plain.withColumn("side", F.pmod(F.xxhash64("w"), F.lit(2))), "licence-plain")
         # calibration lines are like the lines that get scored: each holds a word that cues a licence
         cues = F.array(*[F.lit(x) for x in ("license", "licensed", "copyright", "redistribute", "public domain", "permission to")])
@@ -132,22 +139,23 @@ class LicenceClassifier:
         return p.select(*rows.columns, best.alias("probability"), named.alias("predicted"))
 
     def scan(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, paragraph, family, probability, similarity, confirmed) of each paragraph with a cue.
+        """(doc_id, paragraph, family, probability, similarity, confirmed) of each licence paragraph.
 
-        ``family`` is ``unknown`` where the probability is not above the calibrated threshold;
+        Every paragraph with words is scored; those with a family, and those with a cue, are
+        returned.  ``family`` is ``unknown`` where the probability is not above the calibrated threshold;
         ``confirmed`` says that a notice of the family shares enough word pairs.  Null and empty
         texts have no paragraphs; a null or repeated doc_id is carried along; other columns are not
         looked at; an empty table gives an empty result.
         """
-        rows = paragraphs(docs.filter(F.col("text").rlike(CUES))).filter(F.col("line").rlike(CUES))
-        rows = self._scored(rows.select("doc_id", "paragraph", words_of(F.col("line")).alias("w")).filter("size(w) > 0"))
+        known = F.col("probability") > self.least
+        rows = paragraphs(docs).select("doc_id", "paragraph", F.col("line").rlike(CUES).alias("cue"), words_of(F.col("line")).alias("w")).filter("size(w) > 0")
+        rows = self._scored(rows).filter(known | F.col("cue"))
         rows = rows.withColumn("pairs", F.array_distinct(_grams(F.col("w"), 2)))
         best = None
-        for r in self.notices.select("family", _grams(F.col("tw"), 2).alias("g")).collect():  # the constants above
+        for r in self.notices.select("family", _grams(F.col("tw"), 2).alias("g")).filter(F.size("g") >= LEAST_PAIRS).collect():  # the constants above
             g = F.array(*[F.lit(x) for x in dict.fromkeys(r.g)])
             like = F.when(F.col("predicted") == r.family, F.size(F.array_intersect("pairs", g)) / F.least(F.size(g), F.greatest(F.size("pairs"), F.lit(4))))
             best = F.coalesce(like, F.lit(0.0)) if best is None else F.greatest(best, F.coalesce(like, F.lit(0.0)))
-        known = F.col("probability") > self.least
         rows = rows.withColumn("similarity", best)
         return rows.select(
             "doc_id", "paragraph", F.when(known, F.col("predicted")).otherwise(UNKNOWN).alias("family"), "probability", "similarity",

@@ -42,3 +42,10 @@ def test_planted_lines_are_found_and_empty_tables(spark, scanner, small):
     want = {r.doc_id for r in docs.filter("text rlike '(Released|[Ll]icensed) under '").collect()}
     assert {r.doc_id for r in scanner.scan(docs).filter("confirmed").collect()} == want
     assert scanner.scan(docs.limit(0)).count() == 0
+
+
+def test_notices_without_a_cue(spark, scanner):
+    texts = {1: "Some words.\nAll rights reserved.\nMore words.", 2: "Released under CC BY 4.0.", 3: "Distributed under the GPL v3", 4: 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.', 5: "all seats reserved for the evening"}
+    found = scanner.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.paragraph, r.family) for r in found} == {(1, 1, "proprietary"), (2, 0, "cc-by"), (3, 0, "gpl"), (4, 0, "mit")}
+    assert {r.doc_id for r in found if r.confirmed} == {2, 3, 4}  # three words are too few to confirm
