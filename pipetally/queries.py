@@ -399,6 +399,20 @@ def timeline(spark, d):
     return events.withColumn("pos", pos)
 
 
+@query(f"""with {R}, {C}, {T}, {D}, e as (
+select application_id, 'interview' "type", round_number || '.' || part || '.' || supplier id, interview_type || ' Interview - Round ' || round_number title, null description, scheduled_date "at", result status from rounds
+union all select application_id, 'contact', id::varchar, 'Added contact: ' || "name", case when "position" is not null then case when company is not null then "position" || ' at ' || company else "position" end else company end, created_at, null from contacts
+union all select id, 'task', id::varchar, title, null, coalesce(due_date::timestamp, created_at), status from tasks
+union all select application_id, 'document', id::varchar, 'Uploaded: ' || filename, null, uploaded_at, null from docs)
+select *, cast(row_number() over (partition by application_id order by "at" desc, "type", id, title) as int) pos from e""")
+def timeline_all(spark, d):
+    """The timelines of all applications; ``timeline`` is held to its SQL, which has those of the first ones."""
+    r = x.rounds(spark, d).withColumn("id", F.concat_ws(".", "round_number", "part", "supplier"))
+    t = x.tasks(spark, d).withColumn("application_id", F.col("id"))
+    pos = F.row_number().over(W.partitionBy("application_id").orderBy(F.desc("at"), "type", "id", "title"))
+    return tl.timeline(r, x.contacts(spark, d), t, x.documents(spark, d)).withColumn("pos", pos)
+
+
 _CAL = f"""{T}, {R}, {P}, i as (select user_id, 'Task' "type", tasks.id::varchar id, title, (timezone(z, timezone('UTC', due_date::timestamp + interval 12 hours))) "at"
   from tasks join (select id pid, coalesce(nullif(time_zone, ''), 'America/New_York') z from profiles) on pid = user_id where status = 'Pending' and due_date is not null
 union all select user_id, 'Interview', application_id || '.' || round_number || '.' || part || '.' || supplier, 'Interview · ' || interview_type, timezone(z, timezone('UTC', scheduled_date))
