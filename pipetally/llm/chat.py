@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pipetally.llm.shared import lean_batches
+from pipetally.llm.shared import pieces, reach_workers
 
 TOKENIZER = "byte_bpe_50k.json"
 #: The template (fixed values).  A role that is not listed is written as @ and itself, escaped.
@@ -110,7 +110,7 @@ def formatted(conversations: DataFrame, name: str = TOKENIZER) -> DataFrame:
     not looked at; an empty table gives an empty result.  A conversation is one string, so its rows
     come to one task by nature.
     """
-    lean_batches(conversations.sparkSession)
+    reach_workers(conversations.sparkSession)
     path = public_tokenizers.path(name)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role"), text("text"))
@@ -138,7 +138,7 @@ def digests(chats: DataFrame) -> DataFrame:
     """What can be read back from ``formatted``: the turns, and the text under the loss mask."""
 
     def work(batches):
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for conv, whole, starts, ends in zip(*(c.to_pylist() for c in b.columns)):
                 turns = parse(whole)

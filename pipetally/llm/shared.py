@@ -1,19 +1,28 @@
-"""What the operators share: the folder that all machines see, written tables, sampling."""
+"""What the operators share: the folder that all machines see, written tables, sampling, small batches."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+#: A worker handles so many rows, or about so many bytes of them, at a time: texts are whole and may be long.
+PIECE_ROWS, PIECE_BYTES = 512, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Only a session whose executors are this process (tests) may do without: it gets a temporary one.
+    On a cluster each machine would have a folder of its own, so that is an error.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -21,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="pipetally-")
     sc.setCheckpointDir(own)
     return f"file://{own}"
@@ -38,15 +49,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hashed_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
-    """About ``rows`` rows of ``df`` (all, if it has fewer), chosen by a hash of ``key``.
+def text_hash(column: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(column))
+
+
+def _cut(distinct: Column, rows: int) -> Column:
+    """The hash below which about ``rows`` of ``distinct`` evenly spread 64-bit hashes lie."""
+    share = F.least(F.lit(1.0), F.lit(float(rows)) * 1.2 / F.greatest(distinct.cast("double"), F.lit(1.0)))
+    return F.when(share >= 1.0, F.lit((1 << 63) - 1)).otherwise((F.lit(float(-(1 << 63))) + share * float(1 << 64)).cast("bigint"))
+
 
-    Only used to fit classifiers; the bound is a documented parameter of each of them.
+def text_sample(df: DataFrame, key: str, rows: int, seed: int, by: str | None = None) -> DataFrame:
+    """At most ``rows`` rows of ``df`` with different texts ``key`` (for each value of ``by``, if given), chosen by a hash of the text.
+
+    A repeated text counts once, so no group of copies can fill the sample or leave it.  Only used to
+    fit classifiers; the bound is a documented parameter of each of them.  Only hashes are ranked.
     """
-    total = df.count()
-    if total <= rows:
-        return df
-    return df.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(1_000_000 * rows / total) + 1)
+    hashed = df.withColumn("__h", text_hash(key, seed))
+    keys = [by] if by else []
+    cuts = hashed.groupBy(*keys).agg(F.approx_count_distinct("__h").alias("__d")).select(*keys, _cut(F.col("__d"), rows).alias("__cut"))
+    near = hashed.join(F.broadcast(cuts), keys) if by else hashed.join(F.broadcast(cuts), F.lit(True))
+    near = near.filter(F.col("__h") <= F.col("__cut")).drop("__cut")
+    # about 1.2 x rows hashes (a value of ``by``) are left to rank
+    rank = F.row_number().over(W.partitionBy(*(keys or [F.lit(0)])).orderBy("__h"))
+    last = near.select(*keys, "__h").distinct().withColumn("__r", rank).filter(F.col("__r") <= rows).groupBy(*keys).agg(F.max("__h").alias("__last"))
+    last = F.broadcast(written(last, "sample-cut"))
+    some = near.join(last, keys) if by else near.join(last, F.lit(True))
+    return some.filter(F.col("__h") <= F.col("__last")).dropDuplicates([*keys, "__h"]).drop("__h", "__last")
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:
@@ -54,10 +83,20 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def lean_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep the Arrow batches sent to Python workers small: texts are whole and may be long.
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, marked for a broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(df) if small_enough(df, rows) else df
 
-    Workers also look for this package where the driver has it; on a cluster submit it with --py-files.
-    """
+
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into small ones, by rows and by bytes, whatever the session's batch size is."""
+    for b in batches:
+        rows = b.num_rows
+        step = max(1, min(PIECE_ROWS, int(rows * PIECE_BYTES / max(b.nbytes, 1))))
+        for at in range(0, rows, step):
+            yield b.slice(at, step)
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver has it; on a cluster submit it with --py-files."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipetally.llm.components import connected_components
-from pipetally.llm.shared import lean_batches, small_enough, written
+from pipetally.llm.shared import pieces, reach_workers, small_enough, written
 
 BITS = 64
 #: A node table of at most this many rows (16 bytes each) may be broadcast.
@@ -53,13 +53,13 @@ def fingerprint(text: str | None, words: int) -> int:
 
 def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns and ``fp`` (bigint) of every row; a text without words, or null, has 0."""
-    lean_batches(docs.sparkSession)
+    reach_workers(docs.sparkSession)
     wanted = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     schema = wanted.drop("__text").withColumn("fp", F.lit(0).cast("bigint")).schema
     names = schema.names
 
     def work(batches):
-        for b in batches:
+        for b in pieces(batches):
             fp = pa.array([fingerprint(t, words) for t in b.column(b.num_columns - 1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], fp], names=names)
 

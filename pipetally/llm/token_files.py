@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from tokenizers import Tokenizer
 
 from pipetally.llm import simple8b
-from pipetally.llm.shared import fresh_path, lean_batches, written
+from pipetally.llm.shared import fresh_path, pieces, reach_workers, written
 
 MAGIC, BLOCK_IDS, SHARD_IDS = b"PTS8B001", 16_384, 4_000_000
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
@@ -170,7 +170,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, en
     written; an empty table gives no files.
     """
     spark = docs.sparkSession
-    lean_batches(spark)
+    reach_workers(spark)
     model = public_tokenizers.path(tokenizer)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -192,7 +192,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, en
             ids, texts, n, shard = [], [], 0, shard + 1
             return row
 
-        for b in batches:
+        for b in pieces(batches):
             for d, t in zip(b.column(0).to_pylist(), b.column(1)):
                 coded = np.append(code.encode(t.as_py()), np.array([end_id], dtype="<u4")).astype("<u4")
                 ids.append(d)
@@ -220,7 +220,7 @@ def read_token_files(files: DataFrame, path: str) -> DataFrame:
 
     def work(batches):
         fs, root = pafs.FileSystem.from_uri(path)
-        for b in batches:
+        for b in pieces(batches):
             for name, start in zip(*(c.to_pylist() for c in b.columns)):
                 with fs.open_input_stream(f"{root}/{name}") as f:
                     doc_ids, texts = unpack(f.read())
