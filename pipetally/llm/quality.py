@@ -15,12 +15,11 @@ from collections import Counter
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipetally.llm.shared import hashed_sample, lean_batches
+from pipetally.llm.shared import PIECE_ROWS, reach_workers, text_sample, written
 
 #: Hashed features, documents that the scorer is trained on (the bound of the sample), score from which a document stays.
 FEATURES, SAMPLE_DOCS, KEEP = 1 << 12, 20_000, 0.5
@@ -64,7 +63,11 @@ def _vote(x: float, good: float, bad: float) -> int:
 
 
 def votes(f: dict[str, float], n: int) -> list[int]:
-    """One of bad 0, none 1, good 2 from each labeller."""
+    """One of bad 0, none 1, good 2 from each labeller.
+
+    A labeller that judges by a share abstains where a text has too few words or sentences for one: a
+    repeated word in a text of three is no repetition, and half of two sentences is one.
+    """
     return [
         _vote(f["runs"], -1, 0.1),
         _vote(f["marks"], 0.03, 0.08),
@@ -80,27 +83,23 @@ def votes(f: dict[str, float], n: int) -> list[int]:
 LABELLERS = 8
 
 
-def pattern_of(text: str | None) -> int:
-    """All votes as one number in base 3; -1 for a text without words."""
-    f, _, n = figures(text or "")
-    return sum(v * 3**i for i, v in enumerate(votes(f, n))) if n else -1
-
+def judged(text: str | None) -> tuple[int, list[int], list[float]]:
+    """All votes as one number in base 3, and the sparse features: shares of word shapes and of the figures, hashed.
 
-def hashed(text: str | None) -> tuple[list[int], list[float]]:
-    """The sparse features: shares of word shapes and of the figures, hashed; none for a text without words."""
+    A text without words has -1 and no features.
+    """
     f, shaped, n = figures(text or "")
     if not n:
-        return [], []
+        return -1, [], []
     out: dict[int, float] = {0: 1.0}
     for s, c in shaped.items():
         s = _STOP.sub("", _CAPITAL.sub("a", s))  # a short text has as many capitals and stops as it has sentences
-        at = zlib.crc32(s[:40].encode()) % (FEATURES - 1) + 1
+        at = zlib.crc32(s.encode("utf-8", "surrogatepass")) % (FEATURES - 1) + 1
         out[at] = out.get(at, 0.0) + c / n
     for k in ("runs", "marks", "capitals", "lone", "twice", "trigrams", "sentences"):
         at = zlib.crc32(f"={k}".encode()) % (FEATURES - 1) + 1
-        v = f[k] if k not in ("trigrams", "sentences") or n >= 30 else 0.0
-        out[at] = out.get(at, 0.0) + 2 * v
-    return list(out), list(out.values())
+        out[at] = out.get(at, 0.0) + 2 * f[k]
+    return sum(v * 3**i for i, v in enumerate(votes(f, n))), list(out), list(out.values())
 
 
 def estimate(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
@@ -145,60 +144,67 @@ def train(rows: list[tuple[list[int], list[float]]], labels: np.ndarray, steps:
     return w
 
 
-class QualityModel:
-    """Posteriors by vote pattern and the weights of the linear scorer."""
+def featured(docs: DataFrame) -> DataFrame:
+    """(doc, pattern, at, x): the votes and features of every whole text beside its row (a struct), written once.
 
-    def __init__(self, docs: DataFrame, sample: int = SAMPLE_DOCS, seed: int = 10):
-        """Estimate the labellers over all of ``docs``; train on about ``sample`` texts, chosen by their hash."""
-        lean_batches(docs.sparkSession)
-        texts = docs.select(F.col("text").cast("string").alias("text"))
+    Fitting and scoring both read them.
+    """
+    reach_workers(docs.sparkSession)
 
-        def patterns(batches):
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([pattern_of(t) for t in b.column(0).to_pylist()], pa.int32())], names=["pattern"])
+    @F.arrow_udf("struct<pattern: int, at: array<int>, x: array<float>>")
+    def found(texts: pa.Array) -> pa.Array:
+        parts = []
+        for k in range(0, len(texts), PIECE_ROWS):
+            pattern, at, x = zip(*(judged(t.as_py()) for t in texts.slice(k, PIECE_ROWS)))
+            parts.append(pa.StructArray.from_arrays(
+                [pa.array(pattern, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], names=["pattern", "at", "x"]))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("pattern", pa.int32()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float32()))]))
 
-        counted = texts.mapInArrow(patterns, "pattern int").groupBy("pattern").count()
-        self.counts = {r["pattern"]: r["count"] for r in counted.collect()}  # at most 3^8 + 1 rows
-        self.posterior = estimate(self.counts)
+    rows = docs.select(F.struct("*").alias("doc"), found(F.col("text").cast("string")).alias("f"))
+    return written(rows.select("doc", "f.pattern", "f.at", "f.x"), "quality-features")
 
-        def rows(batches):
-            for b in batches:
-                t = b.column(0).to_pylist()
-                f = [hashed(x) for x in t]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([pattern_of(x) for x in t], pa.int32()), pa.array([i for i, _ in f], pa.list_(pa.int32())), pa.array([v for _, v in f], pa.list_(pa.float32()))],
-                    names=["pattern", "at", "x"])
 
-        some = hashed_sample(texts.filter("text is not null"), "text", sample, seed).mapInArrow(rows, "pattern int, at array<int>, x array<float>")
-        some = sorted((r["pattern"], r["at"], r["x"]) for r in some.filter("pattern >= 0").collect())
+class QualityModel:
+    """Posteriors by vote pattern and the weights of the linear scorer."""
+
+    def __init__(self, rows: DataFrame, sample: int = SAMPLE_DOCS, seed: int = 10):
+        """Estimate the labellers over all of ``rows`` (of ``featured``); train on at most ``sample`` different texts."""
+        self.counts = {r["pattern"]: r["count"] for r in rows.groupBy("pattern").count().collect()}  # at most 3^8 + 1 rows
+        self.posterior = estimate(self.counts)
+        # texts with the same votes and features teach the same
+        some = rows.filter("pattern >= 0").select("pattern", "at", "x", F.struct("at", "x").alias("k"))
+        some = text_sample(some, "k", sample, seed).select("pattern", "at", "x")
+        some = sorted((r["pattern"], r["at"], r["x"]) for r in some.collect())
         self.weights = train([(i, x) for _, i, x in some], np.array([self.posterior[p] for p, _, _ in some]))
 
-    def score(self, text):
-        """A column: the score from 0 to 1 of a whole text; 0 for null and for texts without words."""
-        w = self.weights.astype(np.float64)
 
-        @F.pandas_udf("double")
-        def scored(s: pd.Series) -> pd.Series:
-            out = np.zeros(len(s))
-            for k, t in enumerate(s):
-                at, x = hashed(t if isinstance(t, str) else None)
-                if at:
-                    out[k] = 1 / (1 + np.exp(-np.clip(float(w[at] @ np.array(x)), -50, 50)))
-            return pd.Series(out)
+def scored(rows: DataFrame, model: QualityModel) -> DataFrame:
+    """(doc, score) of ``rows`` (of ``featured``); the score is from 0 to 1, and 0 for null and for texts without words.
+
+    A null or repeated doc_id makes no difference, all columns are in ``doc`` whatever their names, an
+    empty table gives an empty result.
+    """
+    w = model.weights.astype(np.float64)
+
+    @F.arrow_udf("double")
+    def score(at: pa.Array, x: pa.Array) -> pa.Array:
+        sizes = np.diff(at.offsets.to_numpy())
+        total = np.bincount(np.repeat(np.arange(len(at)), sizes), w[at.flatten().to_numpy()] * x.flatten().to_numpy(), len(at))
+        return pa.array(np.where(sizes > 0, 1 / (1 + np.exp(-np.clip(total, -50, 50))), 0.0), pa.float64())
 
-        return scored(text)
+    return rows.select("doc", score("at", "x").alias("score"))
 
 
-def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``docs`` with ``__score``.  A null or repeated doc_id makes no difference, other columns pass through,
-    an empty table gives an empty result."""
-    return docs.withColumn("__score", model.score(F.col("text").cast("string")))
+def good_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` whose score, by a classifier fitted on them, is at least KEEP."""
+    rows = featured(docs)
+    return scored(rows, QualityModel(rows)).filter(F.col("score") >= KEEP).select("doc.*")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = scored(docs.select("doc_id", "text"), QualityModel(docs))
-    return out.select("doc_id", F.col("__score").alias("score"), (F.col("__score") >= KEEP).alias("keep"))
+    rows = featured(docs.select("doc_id", "text")).withColumn("doc", F.struct("doc.doc_id"))
+    return scored(rows, QualityModel(rows)).select("doc.doc_id", "score", (F.col("score") >= KEEP).alias("keep"))
 
 
 QUERIES = {"op10_quality_classifier": op10_quality_classifier}
