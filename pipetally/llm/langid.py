@@ -8,19 +8,23 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from pipetally.llm.shared import hashed_sample, lean_batches
+from pipetally.llm.shared import pieces, reach_workers, text_sample, written
 
 UNDETERMINED = "und"
-#: Labelled documents to learn from (the bound of the sample), most (language, word) rows kept, longest n-gram.
-SAMPLE_DOCS, MAX_WORDS, LONGEST = 20_000, 150_000, 5
-#: Unseen words that a worker remembers.
-REMEMBERED = 400_000
+#: Labelled documents to learn from, of each language at most (the bound of the sample).
+SAMPLE_DOCS = 2000
+#: The model's size: words and n-grams that are kept in all, shared out evenly among the languages, and the longest n-gram.
+MODEL_WORDS, MODEL_GRAMS, LONGEST = 160_000, 240_000, 5
+#: Unseen words that a worker remembers, and the longest of them; letters of a run that are looked up at a time.
+REMEMBERED, SHORT, STRETCH = 400_000, 64, 1 << 16
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -28,53 +32,55 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in _WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
 
 
+def grams_of(word: str, n: int) -> list[str]:
+    """The n-grams of a word with its ends marked; an end alone says nothing."""
+    marked = f"^{word}$"
+    return [marked[i : i + n] for i in range(n == 1, len(marked) - n + 1 - (n == 1))]
+
+
 class LanguageModel:
     """Log frequencies of words and n-grams by language."""
 
-    def __init__(self, counts: dict[tuple[str, str], int], docs: dict[str, int]):
-        """``counts``: of (language, word); ``docs``: training documents of each language."""
+    def __init__(self, words: dict[tuple[str, str], int], grams: dict[tuple[str, str], int], totals: dict[tuple[str, int], int], docs: dict[str, int]):
+        """Counts of (language, word) and of (language, n-gram); of all of a language's words (size 0) and of all
+        its n-grams of a size, kept or not; and of its training documents."""
         self.langs = sorted(docs)
         at = {lang: i for i, lang in enumerate(self.langs)}
         total = sum(docs.values())
         self.prior = np.log(np.array([docs[lang] / total for lang in self.langs])) if docs else np.zeros(0)
-        words: dict[str, np.ndarray] = {}
-        grams: dict[str, np.ndarray] = {}
-        for (lang, w), n in counts.items():
-            words.setdefault(w, np.zeros(len(self.langs)))[at[lang]] += n
-        for w, v in words.items():
-            for g in set(self._grams(w, 1, LONGEST)):
-                if g in grams:
-                    grams[g] += v
-                else:
-                    grams[g] = v.copy()
-        self.index = {w: i for i, w in enumerate(words)}
-        self.words = self._logs(np.array(list(words.values())).reshape(len(words), len(self.langs)))
-        by_size: dict[int, list[str]] = {}
-        for g, v in grams.items():
-            if v.sum() >= 3 or len(g) == 1:
-                by_size.setdefault(len(g), []).append(g)
-        self.grams: dict[str, np.ndarray] = {}
-        for names in by_size.values():  # frequencies are among n-grams of one size
-            logs = self._logs(np.array([grams[g] for g in names])).astype(np.float32)
-            self.grams.update(zip(names, logs))
-
-    @staticmethod
-    def _grams(word: str, least: int, most: int) -> list[str]:
-        marked = f"^{word}$"
-        # a word end alone says nothing
-        return [marked[i : i + n] for n in range(least, most + 1) for i in range(n == 1, len(marked) - n + 1 - (n == 1))]
-
-    @staticmethod
-    def _logs(counts: np.ndarray) -> np.ndarray:
-        return np.log(counts + 0.5) - np.log(counts.sum(0) + 0.5 * len(counts)) if len(counts) else counts
+        sums = {n: np.array([totals.get((lang, n), 0) for lang in self.langs], dtype=float) for n in range(LONGEST + 1)}
+
+        def table(counts: dict[tuple[str, str], int], size) -> tuple[dict[str, int], np.ndarray]:
+            index: dict[str, int] = {}
+            for _, key in counts:
+                index.setdefault(key, len(index))
+            n = np.zeros((len(index), len(self.langs)))
+            for (lang, key), c in counts.items():
+                n[index[key], at[lang]] = c
+            out = np.zeros(n.shape, dtype=np.float32)
+            kinds = np.array([size(key) for key in index], dtype=int)
+            for k in set(kinds.tolist()):  # frequencies are among n-grams of one size
+                rows = np.flatnonzero(kinds == k)
+                out[rows] = np.log(n[rows] + 0.5) - np.log(sums[k] + 0.5 * (len(rows) + 1))
+            return index, out
+
+        self.index, self.words = table(words, lambda _: 0)
+        self.gram_index, self.grams = table(grams, len)
 
     def backed_off(self, word: str) -> np.ndarray:
-        """The mean log frequencies of the longest known n-grams of an unseen word; zeros if none is known."""
-        word = word[:64]  # of a run of letters without end, its start is enough for a vote of one word
-        for n in range(LONGEST, 0, -1):
-            known = [self.grams[g] for g in self._grams(word, n, n) if g in self.grams]
+        """The mean log frequencies of the longest known n-grams of an unseen word, over all of it; zeros if none is known."""
+        get = self.gram_index.get
+        marked = f"^{word}$"
+        for n in range(min(LONGEST, len(marked)), 0, -1):
+            total, known = np.zeros(len(self.langs)), 0
+            first, end = int(n == 1), len(marked) - n + 1 - (n == 1)
+            for k in range(first, end, STRETCH):  # of a run without end too
+                at = [i for i in map(get, [marked[i : i + n] for i in range(k, min(end, k + STRETCH))]) if i is not None]
+                if at:
+                    total += self.grams[at].sum(axis=0, dtype=float)
+                    known += len(at)
             if known:
-                return np.mean(known, axis=0)
+                return total / known
         return np.zeros(len(self.langs))
 
     def predict(self, text: str | None, seen: dict[str, np.ndarray]) -> tuple[str, float]:
@@ -94,7 +100,9 @@ class LanguageModel:
                 if v is None:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
-                    v = seen[w] = self.backed_off(w)
+                    v = self.backed_off(w)
+                    if len(w) <= SHORT:
+                        seen[w] = v
                 sums += c * v
         if at:
             sums += np.array(n) @ self.words[at]
@@ -104,24 +112,48 @@ class LanguageModel:
         return self.langs[best], float(1 / share.sum())
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE_DOCS, seed: int = 4) -> LanguageModel:
-    """Learn from about ``sample`` rows (text, lang) of ``labelled``, chosen by a hash of the text."""
-    lean_batches(labelled.sparkSession)
-    rows = hashed_sample(labelled.filter("text is not null and lang is not null").select("text", "lang"), "text", sample, seed)
+def _most_frequent(counted: DataFrame, langs: int, kept: int) -> dict[tuple[str, str], int]:
+    """The most frequent keys of every language, ``kept`` in all; equal counts by key."""
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "key"))
+    top = counted.withColumn("r", rank).filter(F.col("r") <= max(1, kept // max(1, langs))).select("lang", "key", "n").toArrow()
+    return {(lang, key): n for lang, key, n in zip(*(c.to_pylist() for c in top.columns))}
+
+
+def fit(labelled: DataFrame, sample: int = SAMPLE_DOCS, words: int = MODEL_WORDS, grams: int = MODEL_GRAMS, seed: int = 4) -> LanguageModel:
+    """Learn from at most ``sample`` different texts of each language of ``labelled`` (text, lang).
+
+    Words and n-grams of all of them are counted in Spark; the model keeps the most frequent of each
+    language, as many of one as of another, so a language with many documents takes no room from one with few.
+    """
+    reach_workers(labelled.sparkSession)
+    rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
+    rows = text_sample(rows, "text", sample, seed, by="lang")
 
     def count(batches):
-        for b in batches:
-            words, docs = Counter(), Counter()
+        for b in pieces(batches):
+            seen, docs = {}, Counter()
             for text, lang in zip(*(c.to_pylist() for c in b.columns)):
                 docs[lang] += 1
-                words.update((lang, w) for w in words_of(text))
-            out = [(lang, None, n) for lang, n in docs.items()] + [(lang, w, n) for (lang, w), n in words.items()]
-            lang, word, n = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
-
-    counted = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    kept = counted.filter("n > 1 or word is null").orderBy(F.col("word").isNotNull(), F.desc("n"), "lang", "word").limit(MAX_WORDS).collect()
-    return LanguageModel({(r.lang, r.word): r.n for r in kept if r.word is not None}, {r.lang: r.n for r in kept if r.word is None})
+                seen.setdefault(lang, Counter()).update(words_of(text))
+            out = [(lang, -1, "", n) for lang, n in docs.items()]
+            for lang, of in seen.items():
+                out += [(lang, 0, w, n) for w, n in of.items()]
+            lang, size, key, n = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(key, pa.string()), pa.array(n, pa.int64())], names=["lang", "size", "key", "n"])
+
+    counted = rows.mapInArrow(count, "lang string, size int, key string, n long").groupBy("lang", "size", "key").agg(F.sum("n").alias("n"))
+    counted = written(counted, "language-words")
+    marked = F.concat(F.lit("^"), "key", F.lit("$"))
+    parts = []
+    for n in range(1, LONGEST + 1):
+        at = F.sequence(F.lit(2), F.length("key") + 1) if n == 1 else F.when(F.length("key") + 3 > n, F.sequence(F.lit(1), F.length("key") + 3 - n))
+        parts.append(counted.filter("size = 0").select("lang", F.lit(n).alias("size"), marked.alias("m"), F.explode(at).alias("i"), "n").select("lang", "size", F.substr("m", F.col("i"), F.lit(n)).alias("key"), "n"))
+    of_size = reduce(DataFrame.unionByName, parts).groupBy("lang", "size", "key").agg(F.sum("n").alias("n"))
+    of_size = written(of_size, "language-grams")
+    docs = {r.lang: r.n for r in counted.filter("size < 0").collect()}  # one row a language
+    totals = {(r.lang, r.size): r.n for t in (counted.filter("size = 0"), of_size) for r in t.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
+    kept = [_most_frequent(t, len(docs), most) for t, most in ((counted.filter("size = 0"), words), (of_size, grams))]
+    return LanguageModel(*kept, totals, docs)
 
 
 def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -132,12 +164,12 @@ def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    lean_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # at most MAX_WORDS words and their n-grams
+    reach_workers(spark)
+    shared = spark.sparkContext.broadcast(model)  # at most MODEL_WORDS words and MODEL_GRAMS n-grams
 
     def work(batches):
         m, seen = shared.value, {}
-        for b in batches:
+        for b in pieces(batches):
             found = [m.predict(t, seen) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "lang_pred", "score"])

@@ -75,7 +75,7 @@ def text_sample(df: DataFrame, key: str, rows: int, seed: int, by: str | None =
     last = near.select(*keys, "__h").distinct().withColumn("__r", rank).filter(F.col("__r") <= rows).groupBy(*keys).agg(F.max("__h").alias("__last"))
     last = F.broadcast(written(last, "sample-cut"))
     some = near.join(last, keys) if by else near.join(last, F.lit(True))
-    return some.filter(F.col("__h") <= F.col("__last")).dropDuplicates([*keys, "__h"]).drop("__h", "__last")
+    return some.filter(F.col("__h") <= F.col("__last")).dropDuplicates([*keys, "__h"]).select(*df.columns)
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:
