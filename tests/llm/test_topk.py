@@ -2,21 +2,24 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from pipetally.llm import topk
+from pipetally.llm import simhash, topk
 
 
-def plain(rows, queries, k):
-    ok = {i: [int(np.floor(256 * float(x))) for x in v] for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+def plain(rows, k):
+    """(query_id, rank, vec_id, score) for rows whose id is divisible by 50, each row against all others."""
+    ok = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q in queries:
-        if q in ok:
-            s = sorted((-sum(a * b for a, b in zip(ok[q], v)), i) for i, v in ok.items() if i != q and len(v) == len(ok[q]))[:k]
+    for at, (q, own) in enumerate(ok):
+        if q % 50 == 0:
+            s = sorted((-sum(a * b for a, b in zip(own, v)), i) for n, (i, v) in enumerate(ok) if n != at and len(v) == len(own))[:k]
             out += [(q, n, i, -x) for n, (x, i) in enumerate(s, 1)]
     return sorted(out)
 
 
+ASKS = "vec_id % 50 = 0"
+
+
 @pytest.mark.parametrize("kind", ["unit", "lengths", "clustered", "same"])
 def test_matches_brute_force(spark, kind):
     rnd = np.random.default_rng(4)
@@ -33,8 +36,40 @@ def test_matches_brute_force(spark, kind):
     rows = [(int(i), [float(np.float32(x)) for x in r]) for i, r in enumerate(v)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, norm string")
     ints = topk.integer_vectors(df)
-    got = topk.top_k(ints, ints.filter(F.col("vec_id") % 50 == 0), k=5, bucket=64, block=4)
-    assert sorted(tuple(r) for r in got.collect()) == plain(rows, range(0, n, 50), 5)
+    got = topk.top_k(ints, ASKS, k=5, bucket=64, block=4)
+    assert sorted(tuple(r) for r in got.collect()) == plain(rows, 5)
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rnd = np.random.default_rng(8)
+    rows = [(int(i), [float(x) for x in rnd.normal(size=3)]) for i in [0, 0, 0, 1, 1, 50, 50, *range(60, 90)]]
+    got = topk.top_k(topk.integer_vectors(spark.createDataFrame([*rows, (0, [1.0, 0.0])], "vec_id long, embedding array<double>")), ASKS)
+    assert sorted(tuple(r) for r in got.collect()) == plain([*rows, (0, [1.0, 0.0])], 5)
+    two = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in topk.top_k(topk.integer_vectors(two), ASKS).collect()) == [(0, 1, 1)] * 2 + [(0, 2, 2)] * 2 + [(0, 3, 0)] * 2
+
+
+def test_its_batches_do_not_depend_on_the_session(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(120)], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lazy = topk.top_k(topk.integer_vectors(df), ASKS)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    simhash.fingerprints(spark.createDataFrame([(1, "a b c")], "doc_id long, text string")).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before and lazy.count() == 15
+
+
+def test_only_needed_buckets_are_joined(spark):
+    """Short vectors are left out on their lengths: few pairs of blocks are searched."""
+    rnd = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rnd.normal(size=4) * (100 if i % 50 == 0 else 1)]) for i in range(2000)]
+    seen, search = [], topk._search
+    topk._search = lambda pairs, k: seen.append(pairs.count()) or search(pairs, k)
+    try:
+        got = topk.top_k(topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), ASKS, bucket=16, block=8)
+        assert sorted(tuple(r) for r in got.collect()) == plain(rows, 5)
+    finally:
+        topk._search = search
+    assert seen[1] < 0.5 * (2000 / 16) * (40 / 8)
 
 
 def test_coordinates_and_lengths_prune():
@@ -48,7 +83,7 @@ def test_coordinates_and_lengths_prune():
         norms, qn = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
         scores = q @ x.T
         least = np.array([np.sort(s)[-5] if i % 2 else np.sort(s)[-1] for i, s in enumerate(scores)], dtype=float)
-        a, b, c = topk.search_block(np.arange(1000, 1006), qn, q, least, np.arange(40), norms, x, 5)
+        a, b, _, c = topk.search_block(np.arange(1000, 1006), qn, q, least, np.arange(40), np.arange(40), norms, x, 5)
         got = {(int(i), int(j)): int(s) for i, j, s in zip(a, b, c)}
         for i in range(6):
             for j in np.flatnonzero(scores[i] > least[i]):
@@ -60,6 +95,6 @@ def test_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [nan, 1.0]), (3, [None, 1.0]), (4, [inf, 1.0]), (5, []), (None, [1.0, 1.0]), (6, [0.5, -0.001]), (7, [1.0, 2.0, 3.0]), (50, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     ints = topk.integer_vectors(df)
-    got = topk.top_k(ints, ints.filter(F.col("vec_id") % 50 == 0))
+    got = topk.top_k(ints, ASKS)
     assert sorted(tuple(r) for r in got.collect()) == [(0, 1, 6, 32768), (0, 2, 50, 0), (50, 1, 0, 0), (50, 2, 6, 0)]
-    assert topk.top_k(ints.limit(0), ints.limit(0)).count() == 0
+    assert topk.top_k(ints.limit(0), ASKS).count() == 0
