@@ -49,6 +49,17 @@ CASES = {
     "<a title='x>y' href=b>link</a> text <b attr=\"unclosed> more</b> rest of it": "link text more rest of it",
     "<form id=all><div class='no-comments'><article><p>whole page in a form</p><form>x</form></article></div></form>": "whole page in a form",
     "<article><p>one<p>two<table><tr><td>a<td>b<tr><td>c</table>": "one\ntwo\na\nb\nc",
+    "<body><nav><a href=1>a</a></nav><article class='post featured-promo'><h1>One</h1><p>two three four</p></article></body>": "One\ntwo three four",
+    "<body><div class='related-content'><article><h1>One</h1><p>two three four</p></article></div></body>": "One\ntwo three four",
+    "<body><div id='discussion-paper'><article><p>two three four</p></article></div></body>": "two three four",
+    "<body><article><p>one two three</p><p class='social'>four five</p><div class='notice-period'>six seven eight</div><p>nine</p></article></body>": "one two three\nfour five\nsix seven eight\nnine",
+    "<body><div class=site-header>Site name</div><div class=posts><h1>Head</h1><div class=post><p>one two three four</p></div><div class=post><p>five six seven eight nine ten</p></div></div></body>":
+    "Head\none two three four\nfive six seven eight nine ten",
+    "<body><main><article><p>one two three four five</p></article><article><p>six seven eight nine ten eleven twelve</p></article></main></body>": "one two three four five\nsix seven eight nine ten eleven twelve",
+    "<body><div class=cookie-notice>we use cookies here and there</div><div class=content><h2>Words</h2><p>one two three four five six.</p><p>x</p></div><div class=share-buttons>Share this</div><div class=comments><p>I like it a lot</p></div></body>":
+    "Words\none two three four five six.\nx",
+    "<body><div class=comments><p>only comments are on this page</p></div></body>": "only comments are on this page",
+    "<body><font><div class=story><p>one two three</p></div></font><ul><li><a href=1>other</a><li><a href=2>things</a></ul></body>": "one two three",
 }
 
 
@@ -57,6 +68,53 @@ def test_other_pages(page, weight):
     assert H.extract(page, weight) == CASES[page]
 
 
+def test_weights_decide(small, spark):
+    """The region follows the weights: with others, other words are the page's text."""
+    pages = [r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
+    learned = H.fit(spark.read.parquet(f"{small}/pages.parquet"))
+    without = {**learned, **{f: 0.0 for f in learned if f[0] == "c"}}  # classes say nothing
+    assert sum(H.extract(p, learned) != H.extract(p, without) for p in CASES) >= 2
+    flat = {f: 1.0 if f[0] == "w" else -0.001 for f in learned if f[0] != "c"}
+    page = "<body><div><p>a short lead</p></div>" + "<hr>" * 30 + "<div><p>" + "words of the text " * 9 + "</p></div></body>"
+    assert H.extract(page, learned) != H.extract(page, flat) and "lead" in H.extract(page, flat)
+    upside = {**learned, "w:text": -0.1, "w:link": 3.0}
+    page = "<body><div><p>" + "plain words " * 9 + "</p></div>" + "<hr>" * 9 + "<div><p><a href=x>" + "linked words " * 9 + "</a></p></div></body>"
+    assert H.extract(page, learned).startswith("plain") and H.extract(page, upside).startswith("linked")
+    assert pages
+
+
+def test_learned_classes(spark):
+    """A class that labelled pages have outside of their articles marks another part where there is no article."""
+    page = "<body><div class='zz'>" + "offers of the day " * 9 + "</div><article><p>" + "words of the text " * 20 + "</p></article></body>"
+    w = H.fit(spark.createDataFrame([(page + " " * i,) for i in range(8)], "html string"))
+    bare = "<body><div class='zz'><p>" + "other offers here " * 20 + "</p></div><div class='yy'><p>some words of a text</p></div></body>"
+    assert H.extract(bare, w) == "some words of a text" and H.extract(bare, H.PRIOR).startswith("other offers")
+
+
+def test_pages_without_article_elements(spark, small, weight):
+    """Held pages with their article in a div give the same text."""
+    for r in spark.read.parquet(f"{small}/pages.parquet").collect():
+        bare = r.html.replace("<article>", "<div class='content'>").replace("</article>", "</div>")
+        assert H.extract(bare, weight) == H.extract(r.html, weight)
+
+
+def test_deep_and_long_pages(weight):
+    import time
+
+    assert H.extract("<body>" + "<div>" * 600 + "<nav>menu menu</nav>" + "<p>text of the page</p>" + "</div>" * 600, weight) == "text of the page"
+    began = time.time()
+    assert H.extract("<div>" * 500 + "<p>a paragraph of words</p>" * 3000, weight).count("\n") == 2999
+    H.extract("<p>" + "<b>" * 20_000 + "x" + "</i>" * 20_000, weight)
+    assert time.time() - began < 5
+
+
+def test_ties_and_repeated_rows(spark, weight):
+    page = "<body><div><p>one two three</p></div>" + "<hr>" * 50 + "<div><p>four five six</p></div></body>"
+    assert H.extract(page, weight) == "one two three"  # of equal regions the first
+    df = spark.createDataFrame([(1, "u", page)] * 3, "page_id long, url string, html string")
+    assert [r.text for r in H.extracted(df, weight).collect()] == ["one two three"] * 3
+
+
 def test_odd_rows(spark, weight):
     long = "<article>" + "<p>words of a paragraph</p>" * 20_000 + "</article>"
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>x</p>"), (2, None, "<><<>&<"), (3, "u", "<script>only"), (4, "u", long), (5, "u", "<div>" * 50_000 + "deep"), (6, "u", "<nav>menu</nav>")]
