@@ -8,11 +8,13 @@ the offsets of its words and escapes, and one pair more (u64); the words; the es
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
 import zlib
 from array import array
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -58,15 +60,34 @@ def _latin(text: str) -> bool:
     return True
 
 
+#: How a tokenizer is built whose texts ``_PIECE`` cuts as it does.
+EXPECTED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None, "truncation": None, "padding": None,
+}
+
+
+def encodes_by_words(config: dict) -> bool:
+    """Whether the tokenizer of this configuration is a byte-level BPE that lower-cases, drops white space and splits by the pattern that ``_PIECE`` follows."""
+    return EXPECTED == {k: config.get(k) for k in EXPECTED} and config.get("model", {}).get("type") == "BPE" and all(
+        t["content"].startswith("<|") for t in config.get("added_tokens") or [])
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that lower-cases, drops white space and never joins across it.
+    """Ids of whole texts, as the tokenizers library has them.
 
-    So a text's ids are those of its words one after another, and a word's those of its pieces (by the
-    tokenizer's own pattern); each distinct piece goes through the tokenizers library once.
+    Where the tokenizer lower-cases, drops white space and never joins across it, a text's ids are
+    those of its words one after another, and a word's those of its pieces (by the tokenizer's own
+    pattern); each distinct piece goes through the library once.  Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = encodes_by_words(json.loads(Path(path).read_text()))
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -88,7 +109,7 @@ class WordEncoder:
         return b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
-        if _ODD_SPACE.search(text):
+        if not self.by_words or _ODD_SPACE.search(text):
             return np.frombuffer(self._plain(text), dtype="<u4")
         if "<|" not in text and _latin(text):
             text = text.lower()  # as the tokenizer would; fewer distinct words
@@ -161,6 +182,21 @@ def unpack(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     return [int(d) if v else None for d, v in zip(doc_ids, valid)], [out[e - n : e] for e, n in zip(ends, lengths)]
 
 
+def publish(fs: pafs.FileSystem, own: str, name: str) -> None:
+    """Give a finished file its name; where a repeated task finds the name taken, the file there must be the same."""
+    try:
+        fs.move(own, name)
+    except (OSError, pa.ArrowException):
+        if fs.get_file_info(name).type == pafs.FileType.NotFound:
+            raise
+    if fs.get_file_info(own).type != pafs.FileType.NotFound:  # the store did not replace it
+        with fs.open_input_stream(own) as a, fs.open_input_stream(name) as b:
+            same = a.read() == b.read()
+        fs.delete_file(own)
+        if not same:
+            raise OSError(f"{name} is there with other contents")
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """Write ``docs`` (doc_id, text) into files under ``path``; (part, shard, file, docs, ids, start) of each.
 
@@ -187,7 +223,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, en
             own = f"{root}/.{name}.{uuid.uuid4().hex}"
             with fs.open_output_stream(own) as f:
                 f.write(pack(ids, texts))
-            fs.move(own, f"{root}/{name}")
+            publish(fs, own, f"{root}/{name}")
             row = pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "file": name, "docs": len(ids), "ids": n}], schema=kinds)
             ids, texts, n, shard = [], [], 0, shard + 1
             return row

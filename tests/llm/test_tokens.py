@@ -1,3 +1,6 @@
+import pyarrow.fs as pafs
+from pathlib import Path
+import json
 import zlib
 
 import numpy as np
@@ -93,3 +96,36 @@ def test_whole_table(spark, small, tokenizer):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     assert sorted(tuple(r) for r in token_files.token_output(docs).collect()) == expected(rows, tokenizer)
+
+
+def test_any_tokenizer_gives_the_ids_of_its_library(spark):
+    texts = ["Hello, World!  it's 12 o'clock", "", "ÉTÉ ß <|endoftext|> \x1c x", "日本語 text", "a\n\n b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        tok = Tokenizer.from_file(public_tokenizers.path(name))
+        want = [tok.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+        got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_files.token_output(df, name).collect()}
+        assert got == {i: (len(w), zlib.crc32(np.array(w, dtype="<u4").tobytes())) for i, w in enumerate(want)}
+    config = json.loads(Path(public_tokenizers.path("word_bpe_49k.json")).read_text())
+    assert token_files.encodes_by_words(config) and not token_files.encodes_by_words({**config, "normalizer": None})
+
+
+def test_a_repeated_task_leaves_the_same_file(tmp_path):
+    fs = pafs.LocalFileSystem()
+    for name, data in (("a", b"1"), ("b", b"1"), ("c", b"2")):
+        (tmp_path / name).write_bytes(data)
+    token_files.publish(fs, str(tmp_path / "a"), str(tmp_path / "file"))
+    token_files.publish(fs, str(tmp_path / "b"), str(tmp_path / "file"))
+    assert (tmp_path / "file").read_bytes() == b"1" and not (tmp_path / "b").exists()
+
+    class Keeps:  # a store that refuses to replace a file
+        get_file_info, open_input_stream, delete_file = fs.get_file_info, fs.open_input_stream, fs.delete_file
+
+        def move(self, own, name):
+            raise OSError("exists")
+
+    (tmp_path / "b").write_bytes(b"1")
+    token_files.publish(Keeps(), str(tmp_path / "b"), str(tmp_path / "file"))
+    assert not (tmp_path / "b").exists()
+    with pytest.raises(OSError):
+        token_files.publish(Keeps(), str(tmp_path / "c"), str(tmp_path / "file"))
