@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pipetally.llm.shared import small_enough, written
+from pipetally.llm.shared import few, written
 
 LEVELS = ("domain", "lang", "source")
 #: Which sources make up a domain (any other, or null: ``other``).
@@ -32,19 +32,20 @@ WEIGHTS = {"domain": {"web": 4, "news": 3, "books": 3, "other": 2}, "lang": {"en
 BUDGET_PERCENT, MAX_EPOCHS, SEED = 90, 2, "mix-1"
 #: The table of leaves is broadcast up to this many rows.
 BROADCAST_ROWS = 100_000
-#: About so many documents of a leaf fall into one bucket of the order.
-BUCKET_DOCS = 2048
 
 
 def with_levels(docs: DataFrame, domains: dict = DOMAINS) -> DataFrame:
-    """``docs`` with columns __domain, __lang, __source (null: ``none``) and __tokens, the words of the whole text."""
+    """(doc, domain, lang, source, tokens, name): each row as a struct, its levels (null: ``none``), the words of the
+    whole text, and what the order of a leaf is drawn from: id and text, so that repeated or missing ids spread out."""
     src = F.coalesce(F.col("source").cast("string"), F.lit("none"))
     domain = reduce(lambda c, kv: c.when(F.col("source").isin(kv[1]), kv[0]), domains.items(), F.when(F.lit(False), "")).otherwise("other")
-    text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"^[ \t-\r]+|[ \t-\r]+$", "")
+    held = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.regexp_replace(held, r"^[ \t-\r]+|[ \t-\r]+$", "")
     tokens = F.when(text == "", 0).otherwise(F.size(F.split(text, r"[ \t-\r]+")))
-    return docs.withColumns({
-        "__domain": domain, "__lang": F.coalesce(F.col("lang").cast("string"), F.lit("none")), "__source": src, "__tokens": tokens.cast("long"),
-    })
+    name = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.md5(held.cast("binary")))
+    return docs.select(
+        F.struct("*").alias("doc"), domain.alias("domain"), F.coalesce(F.col("lang").cast("string"), F.lit("none")).alias("lang"), src.alias("source"),
+        tokens.cast("long").alias("tokens"), name.alias("name"))
 
 
 def _weight(level: str, weights: dict) -> Column:
@@ -96,71 +97,61 @@ def leaf_budgets(leaves: DataFrame, weights: dict = WEIGHTS, percent: int = BUDG
 
 
 def _order_key(seed: str) -> Column:
-    """A document's place in its leaf's last, partial epoch; repeated ids share a place."""
-    return F.md5(F.concat_ws("|", F.lit(seed), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).cast("binary"))
+    """A document's place in its leaf's last, partial epoch; only rows that repeat id and text share a place."""
+    return F.md5(F.concat_ws("|", F.lit(seed), F.col("full").cast("string"), F.col("name")).cast("binary"))
 
 
-def mixing_plan(docs: DataFrame, weights: dict = WEIGHTS, domains: dict = DOMAINS, percent: int = BUDGET_PERCENT, epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """One row a leaf: its whole epochs ``full`` and the last order key ``cut`` of the epoch after (null: none of it).
+def mixing_plan(rows: DataFrame, weights: dict = WEIGHTS, percent: int = BUDGET_PERCENT, epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """One row a leaf of ``rows`` (levels, tokens, name): its whole epochs ``full`` and the last order key ``cut`` of the epoch after (null: none of it).
 
     A leaf may hold any share of the rows, so no window runs over one: documents are summed into
-    buckets of their order key, bucket sums are accumulated, and only the bucket in which the
-    allocation ends is looked into.
+    buckets of their order key, about as many as a bucket then has documents, bucket sums are
+    accumulated, and only the bucket in which the allocation ends is looked into, one sum a key.
     """
     at = list(LEVELS)
-    rows = with_levels(docs, domains).select("doc_id", *[F.col(f"__{c}").alias(c) for c in at], F.col("__tokens").alias("n"))
-    rows = written(rows, "mix-rows")
-    leaves = written(rows.groupBy(*at).agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")), "mix-leaves")
+    leaves = written(rows.groupBy(*at).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "mix-leaves")
     plan = leaf_budgets(leaves, weights, percent, epochs)
     whole = F.when(F.col("tokens") > 0, F.expr("got div tokens")).otherwise(F.lit(0))
     plan = plan.withColumn("full", whole.cast("int")).withColumn("rest", F.col("got") - F.col("full") * F.col("tokens"))
     plan = written(plan, "mix-plan")
-    few = small_enough(plan, BROADCAST_ROWS)
     most = leaves.agg(F.max("docs").alias("m")).first()["m"] or 0
     digits = 1
-    while 16**digits * BUCKET_DOCS < most and digits < 8:
+    while 16 ** (2 * digits) < most:
         digits += 1
     partial = plan.filter("rest > 0").select(*at, "full", "rest")
-    keyed = rows.join(F.broadcast(partial) if few else partial, at).withColumn("k", _order_key(seed)).withColumn("b", F.substring("k", 1, digits))
-    sums = keyed.groupBy(*at, "rest", "b").agg(F.sum("n").alias("n"))
+    keyed = rows.join(few(partial, BROADCAST_ROWS), at).withColumn("k", _order_key(seed)).withColumn("b", F.substring("k", 1, digits))
+    sums = keyed.groupBy(*at, "rest", "b").agg(F.sum("tokens").alias("n"))
     upto = F.sum("n").over(W.partitionBy(*at).orderBy("b"))
     sums = written(sums.withColumn("upto", upto), "mix-buckets")
     within = sums.filter("upto <= rest").groupBy(*at).agg(F.max("b").alias("last"))
     edge = sums.filter("upto > rest").groupBy(*at).agg(F.min_by(F.struct("b", (F.col("upto") - F.col("n")).alias("base")), "b").alias("e"))
-    edge = edge.select(*at, "e.b", "e.base")
-    inside = keyed.join(F.broadcast(edge) if few else edge, [*at, "b"])
-    run = F.col("base") + F.sum("n").over(W.partitionBy(*at, "b").orderBy("k"))  # equal keys count together
+    edge = written(edge.select(*at, "e.b", "e.base"), "mix-edges")
+    inside = keyed.join(few(edge, BROADCAST_ROWS), [*at, "b"]).groupBy(*at, "b", "base", "rest", "k").agg(F.sum("tokens").alias("n"))
+    run = F.col("base") + F.sum("n").over(W.partitionBy(*at, "b").orderBy("k"))
     cut_in = inside.withColumn("run", run).filter("run <= rest").groupBy(*at).agg(F.max("k").alias("cut_in"))
     # a bucket that fits whole ends below the next prefix: 'g' sorts after every hex digit
     out = plan.join(within, at, "left").join(cut_in, at, "left")
     return out.select(*at, "tokens", "got", "full", F.greatest(F.col("cut_in"), F.concat("last", F.lit("g"))).alias("cut"))
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` once for each epoch in which the plan reads it, with ``__epoch`` (from 0) and the level columns.
+def mixed(docs: DataFrame, domains: dict = DOMAINS, seed: str = SEED, **how) -> DataFrame:
+    """(doc, domain, lang, source, tokens, epoch): the rows of ``docs``, each a struct, once for each epoch (from 0) in which the plan reads them.
 
     Null ids, texts (no tokens), languages and sources (``none``) are values like any other;
-    documents without tokens come with every epoch of their leaf; repeated rows are read
-    together; other columns pass through; an empty table gives an empty result.
+    documents without tokens come with every epoch of their leaf; rows that repeat id and text are read
+    together; other columns, whatever their names, are in ``doc``; an empty table gives an empty result.
     """
-    domains, seed = how.get("domains", DOMAINS), how.get("seed", SEED)
-    plan = written(mixing_plan(docs, **how).select(*[F.col(c).alias(f"__{c}") for c in LEVELS], F.col("full"), F.col("cut")), "mix-cuts")
+    at = list(LEVELS)
     rows = with_levels(docs, domains)
-    at = [f"__{c}" for c in LEVELS]
-    if small_enough(plan, BROADCAST_ROWS):
-        plan = F.broadcast(plan)
-    plan = plan.withColumnsRenamed({"full": "__full", "cut": "__cut"})
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.col("__full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).cast("binary"))
-    last = F.col("__full") + F.when(key <= F.col("__cut"), 1).otherwise(0)
-    return (
-        rows.join(plan, at).withColumn("__last", last).filter("__last > 0")
-        .withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__last") - 1))).drop("__full", "__cut", "__last")
-    )
+    plan = mixing_plan(written(rows.drop("doc"), "mix-rows"), seed=seed, **how)
+    plan = few(written(plan.select(*at, "full", "cut"), "mix-cuts"), BROADCAST_ROWS)
+    last = F.col("full") + F.when(_order_key(seed) <= F.col("cut"), 1).otherwise(0)
+    return rows.join(plan, at).withColumn("last", last).filter("last > 0").select("doc", *at, "tokens", F.explode(F.sequence(F.lit(0), F.col("last") - 1)).alias("epoch"))
 
 
 def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mixed(docs).select("doc_id", *[F.col(f"__{c}").alias(c) for c in LEVELS], F.col("__epoch").alias("epoch"), F.col("__tokens").alias("n_tokens"))
+    return mixed(docs).select("doc.doc_id", *LEVELS, "epoch", F.col("tokens").alias("n_tokens"))
 
 
 QUERIES = {"op3_mixing_sources": op3_mixing_sources}
@@ -197,7 +188,7 @@ g{i} as (select {cols}case when ok then cap else lp * w // wp end given from q{i
         prev, at = f"g{i}", [*at, lv]
     return sql + f""",
 plan as (select domain, lang, source, case when tokens > 0 then given // tokens else 0 end fulls, given, tokens from leaf join {prev} using (domain, lang, source)),
-j as (select t.*, fulls, given - fulls * tokens rest, md5(concat_ws('|', '{SEED}', cast(fulls as varchar), coalesce(cast(doc_id as varchar), 'none'))) k
+j as (select t.*, fulls, given - fulls * tokens rest, md5(concat_ws('|', '{SEED}', cast(fulls as varchar), coalesce(cast(doc_id as varchar), 'none'), md5(coalesce(text, '')))) k
   from tok t join plan p on t.__domain = p.domain and t.__lang = p.lang and t.__source = p.source),
 run as (select *, sum(__tokens) over (partition by __domain, __lang, __source order by k) upto from j),
 lst as (select *, fulls + case when rest > 0 and upto <= rest then 1 else 0 end last from run),

@@ -24,7 +24,8 @@ def plain(rows, weights, domains, percent, epochs, seed):
     for doc_id, text, lang, source in rows:
         dom = next((k for k, v in domains.items() if source in v), "other")
         key = (dom, "none" if lang is None else lang, "none" if source is None else source)
-        leaf[key].append((doc_id, len((text or "").split())))
+        name = f"{'none' if doc_id is None else doc_id}|{hashlib.md5((text or '').encode()).hexdigest()}"
+        leaf[key].append((doc_id, len((text or "").split()), name))
         tokens[key] += len((text or "").split())
     cap = {k: v * epochs for k, v in tokens.items()}
     given = {(): min(sum(tokens.values()) * percent // 100, sum(cap.values()))}
@@ -38,28 +39,28 @@ def plain(rows, weights, domains, percent, epochs, seed):
     out = []
     for key, docs in leaf.items():
         full, rest = divmod(given[key], tokens[key]) if tokens[key] else (0, given[key])
-        order = sorted((hashlib.md5(f"{seed}|{full}|{'none' if d is None else d}".encode()).hexdigest(), str(d), n) for d, n in docs)
+        place = lambda name: hashlib.md5(f"{seed}|{full}|{name}".encode()).hexdigest()  # noqa: E731, B023
+        order = sorted((place(name), str(d), n) for d, n, name in docs)
         run, picked = 0, set()
         for k in sorted({k for k, _, _ in order}):
             run += sum(n for h, _, n in order if h == k)
             if rest and run <= rest:
                 picked.add(k)
-        for d, n in docs:
-            h = hashlib.md5(f"{seed}|{full}|{'none' if d is None else d}".encode()).hexdigest()
-            out += [(str(d), *key, e, n) for e in range(full + (h in picked))]
+        for d, n, name in docs:
+            out += [(str(d), *key, e, n) for e in range(full + (place(name) in picked))]
     return sorted(out)
 
 
-def test_matches_plain_budgeting(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BUCKET_DOCS", 4)  # many buckets of the order
+def test_matches_plain_budgeting(spark):
     rnd = random.Random(5)
     domains, weights = {"web": ["a", "b"], "news": ["c"]}, {"domain": {"web": 3, "other": 2}, "lang": {"en": 4}, "source": {"b": 5}}
     rows = [(i, "w " * rnd.choice((0, 1, 5, 40)), rnd.choice(("en", "de", None)), rnd.choice(("a", "a", "a", "b", "c", "d", None))) for i in range(400)]
-    rows += [(None, "x y", "en", "a"), (3, "w w", "en", "a"), (3, "w w", "en", "a"), (900, None, "en", "b"), (901, "long " * 30_000, "fr", "e")]
-    docs = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, lang string, source string, domain string, tokens int")
+    rows += [(None, f"x{i}", "en", "a") for i in range(30)] + [(None, "x y", "en", "a"), (None, "x y", "en", "a"), (3, "other", "en", "a"), (3, "w w", "en", "a"), (3, "w w", "en", "a"), (900, None, "en", "b"), (901, "long " * 30_000, "fr", "e")]
+    docs = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, lang string, source string, domain string, name int")
     for percent, epochs in ((60, 1), (90, 2), (150, 3), (400, 2)):
         got = mixing.mixed(docs, weights=weights, domains=domains, percent=percent, epochs=epochs, seed="s")
-        got = sorted((str(r.doc_id), r.__domain if False else r["__domain"], r["__lang"], r["__source"], r["__epoch"], r["__tokens"]) for r in got.collect())
+        assert got.select("doc.*").columns == docs.columns
+        got = sorted((str(r.doc.doc_id), r.domain, r.lang, r.source, r.epoch, r.tokens) for r in got.collect())
         assert got == plain(rows, weights, domains, percent, epochs, "s")
 
 
