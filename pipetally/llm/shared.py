@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,14 +42,36 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage, and survives the loss of any executor."""
+#: The tables written inside of each ``scratch`` that is open.
+_OPEN: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts lineage, and survives the loss of any executor.
+
+    With ``keep`` it outlives the innermost ``scratch`` around it.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if _OPEN[: len(_OPEN) - keep]:
+        _OPEN[-1 - keep].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end; what is returned from here must be written with ``keep``."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for p in _OPEN.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def text_hash(column: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col(column))
 
