@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pipetally.functions.texts import date_only
+
 DEFAULT_ZONE = "America/New_York"
 
 
@@ -48,6 +50,20 @@ def display_date(day: Column, tz: Column) -> Column:
     return F.coalesce(F.date_format(noon_in(day, tz), "MMM d, yyyy"), F.lit(""))
 
 
+def display_day_text(text: Column, tz: Column, pattern: str = "MMM d, yyyy") -> Column:
+    """A ``yyyy-MM-dd`` text as a date of ``tz`` in any pattern; other texts are shown as they are, null as empty."""
+    return F.coalesce(F.date_format(noon_in(date_only(text), tz), pattern), text, F.lit(""))
+
+
+# The patterns of the calendar's column heads, day numbers, day titles and times.
+CALENDAR = {"weekday": "EEE", "day": "d", "title": "EEEE, MMM d", "time": "h:mm a"}
+
+
+def calendar_label(at: Column, kind: str) -> Column:
+    """A wall-clock time or day as the calendar writes it: weekday, day, title or time."""
+    return F.date_format(at, CALENDAR[kind])
+
+
 def display_time(instant: Column, tz: Column) -> Column:
     return F.coalesce(F.date_format(wall_clock(instant, tz), "MMM d, yyyy, h:mm a"), F.lit(""))
 

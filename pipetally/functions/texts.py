@@ -37,6 +37,16 @@ def human_size(n: Column) -> Column:
     return F.when(n.isNull() | (n == 0), "0 Bytes").otherwise(F.concat_ws(" ", digits, unit))
 
 
+def shown_size(n: Column) -> Column:
+    """What a list of files shows: a size that is missing, or none, is not known."""
+    return F.when(n.isNull() | (n == 0), "Unknown size").otherwise(human_size(n))
+
+
+def date_only(s: Column) -> Column:
+    """The day of a ``yyyy-MM-dd`` text; null for anything else."""
+    return F.when(s.rlike(DATE_ONLY), s.try_cast("date"))
+
+
 def unbroken_base64(b: Column) -> Column:
     return F.regexp_replace(F.base64(b), "[\r\n]", "")
 

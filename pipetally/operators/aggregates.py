@@ -81,11 +81,14 @@ def weekly_profile(counts: DataFrame, last_k: int = 8, key: str = "user_id") ->
 
 
 def stage_flow(apps: DataFrame, rounds: DataFrame) -> DataFrame:
-    """Wide counts by stage and drop-off for each tenant with an application, 0 where there are none."""
+    """Wide counts by stage and drop-off for each tenant with an application, 0 where there are none.
+
+    Rounds need no tenant: an application with a failed one counts once, as its own tenant's.
+    """
     names = ["applied", "interview_scheduled", "interview_completed", "offer_received", "rejected", "withdrawn"]
-    stages = apps.groupBy("user_id").agg(*[count_if(F.col("status") == s).alias(n) for s, n in zip(APPLICATION_STATUS, names)])
-    failed = rounds.filter(F.col("result") == "Failed").groupBy("user_id").agg(F.count_distinct("application_id").alias("rejected_after_interview"))
-    out = stages.join(failed, "user_id", "left").withColumn("rejected_after_interview", F.coalesce("rejected_after_interview", F.lit(0)))
+    failed = rounds.filter(F.col("result") == "Failed").select(F.col("application_id").alias("id")).distinct().withColumn("failed", F.lit(True))
+    stages = [count_if(F.col("status") == s).alias(n) for s, n in zip(APPLICATION_STATUS, names)]
+    out = apps.select("id", "user_id", "status").join(failed, "id", "left").groupBy("user_id").agg(*stages, F.count("failed").alias("rejected_after_interview"))
     total = sum((F.col(n) for n in [*names, "rejected_after_interview"]), F.lit(0))
     return out.withColumn("flow_total", total.cast("bigint"))
 

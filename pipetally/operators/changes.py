@@ -21,12 +21,17 @@ def append_rows(df: DataFrame, new: DataFrame, as_of: Column | None = None, id_c
     return df.unionByName(new, allowMissingColumns=True)
 
 
-def apply_updates(df: DataFrame, changes: DataFrame, key: Sequence[str], as_of: Column | None = None) -> DataFrame:
-    """``df`` with the columns of ``changes`` (one row a key) where they are not null; ``updated_at`` becomes ``as_of``."""
-    fields = [c for c in changes.columns if c not in key]
-    side = changes.select(*key, *[F.col(c).alias(f"__{c}") for c in fields], F.lit(True).alias("__hit"))
+def apply_updates(df: DataFrame, changes: DataFrame, key: Sequence[str], as_of: Column | None = None, given: str | None = None) -> DataFrame:
+    """``df`` with the columns of ``changes`` (one row a key); ``updated_at`` becomes ``as_of``.
+
+    ``given`` names an array column of ``changes`` with the fields that a change sets, which may be set to
+    null; without it those that are not null are set.
+    """
+    fields = [c for c in changes.columns if c not in key and c != given]
+    side = changes.select(*key, *[F.col(c).alias(f"__{c}") for c in fields], *([F.col(given).alias("__given")] if given else []), F.lit(True).alias("__hit"))
     out = df.join(side, list(key), "left")
-    cols = [F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in df.columns]
+    is_set = lambda c: F.coalesce(F.array_contains("__given", c), F.lit(False)) if given else F.col(f"__{c}").isNotNull()
+    cols = [F.when(is_set(c), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in df.columns]
     if as_of is not None and "updated_at" in df.columns:
         cols = [F.when(F.col("__hit"), as_of).otherwise(F.col("updated_at")).alias("updated_at") if n == "updated_at" else c for n, c in zip(df.columns, cols)]
     return out.select(*cols)

@@ -46,6 +46,8 @@ def one_row(df: DataFrame, required: bool = True) -> DataFrame:
 
 def search(df: DataFrame, cols: Sequence[str], needle: str, literal: bool = False) -> DataFrame:
     """Rows with ``needle`` in any of ``cols``, whatever the case; unless ``literal``, % and _ are wildcards. An empty needle matches all."""
+    if needle == "":
+        return df
     hit = F.lit(False)
     for c in cols:
         text = F.coalesce(F.col(c), F.lit(""))

@@ -61,6 +61,21 @@ def task_rules() -> list[Rule]:
     ]
 
 
+def profile_rules() -> list[Rule]:
+    """What may be written to a profile: every field may be left out, goals may be cleared."""
+    least = lambda c: (F.coalesce(F.col(c) < 0, F.lit(False)), f"{c}: must be 0 or more")
+    return [(F.coalesce(F.col("full_name") == "", F.lit(False)), "Full name is required"), least("monthly_application_goal"), least("daily_application_goal")]
+
+
+def partial(rules: Sequence[tuple[str, Rule]], given: str = "given") -> list[Rule]:
+    """The rules of a partial update: each (column, rule) holds only where its column is in the array ``given``."""
+    return [(bad & F.array_contains(given, column), message) for column, (bad, message) in rules]
+
+
+def task_rules_by_column() -> list[tuple[str, Rule]]:
+    return list(zip(("title", "priority", "status", "application_id"), task_rules()))
+
+
 def validate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``df`` with ``errors``, the messages of the rules that a row breaks, in order."""
     return df.withColumn("errors", F.array_compact(F.array(*[F.when(bad, F.lit(message)) for bad, message in rules])))

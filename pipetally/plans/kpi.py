@@ -13,6 +13,12 @@ from pipetally.operators.changes import column_or
 
 # The goals of a tenant who set none.
 DAILY_GOAL, MONTHLY_GOAL, TREND_DAYS = 10, 200, 14
+# The indicators and their titles, in order; their descriptions stand in ``kpi_table``.
+TITLES = {
+    "total-applications": "Total Applications", "pending-tasks": "Pending Tasks", "upcoming-interviews": "Upcoming Interviews", "monthly-goal": "Monthly Application Goal",
+    "daily-goal": "Daily Application Goal", "velocity-change": "Application Velocity Change", "application-streak": "Application Streak", "silence-rate": "Silence Rate",
+    "most-productive-week": "Most Productive Week", "current-momentum": "Current Momentum",
+}
 
 
 def _sum_if(n: str, condition: Column) -> Column:
@@ -75,6 +81,8 @@ def kpi_base(apps: DataFrame, tasks: DataFrame, rounds: DataFrame, profiles: Dat
     a = a.withColumns({"best_week": F.col("best.wk"), "best_n": F.col("best.n"), "week_change": pct_change(F.col("best.n"), F.col("recent_mean"))}).drop("best", "recent_mean")
     t = tasks.groupBy("user_id", valid_day("created_at").alias("day")).agg(F.count("*").alias("n"), count_if(F.col("status") == "Pending").alias("pending"))
     t = t.groupBy("user_id").agg(F.sum("pending").cast("bigint").alias("pending_tasks"), _trend(as_of).alias("task_trend"))
+    # only the days of the trend and what is still to come count
+    rounds = rounds.filter(F.col("scheduled_date") >= F.least(F.date_sub(as_of, TREND_DAYS - 1).cast("timestamp_ntz"), now.cast("timestamp_ntz")))
     r = rounds.groupBy("user_id", valid_day("scheduled_date").alias("day")).agg(F.count("*").alias("n"), count_if(F.col("scheduled_date") >= now).alias("upcoming"))
     r = r.groupBy("user_id").agg(F.sum("upcoming").cast("bigint").alias("upcoming"), _trend(as_of).alias("round_trend"))
     out = goals.join(a, "user_id", "left").join(t, "user_id", "left").join(r, "user_id", "left")
@@ -84,7 +92,7 @@ def kpi_base(apps: DataFrame, tasks: DataFrame, rounds: DataFrame, profiles: Dat
 
 
 def kpi_table(apps: DataFrame, tasks: DataFrame, rounds: DataFrame, profiles: DataFrame, as_of: Column, now: Column) -> DataFrame:
-    """(user_id, ord, id, value_num, value_text, description, change_pct, progress, trend): ten rows a tenant.
+    """(user_id, ord, id, title, value_num, value_text, description, change_pct, progress, trend): ten rows a tenant.
 
     ``value_text`` is what the dashboard shows; ``value_num`` is the number in it.
     """
@@ -111,7 +119,7 @@ def kpi_table(apps: DataFrame, tasks: DataFrame, rounds: DataFrame, profiles: Da
     ]
     structs = [
         F.struct(
-            F.lit(k).alias("ord"), F.lit(i).alias("id"), num.cast("double").alias("value_num"), txt.alias("value_text"), (F.lit(d) if isinstance(d, str) else d).alias("description"),
+            F.lit(k).alias("ord"), F.lit(i).alias("id"), F.lit(TITLES[i]).alias("title"), num.cast("double").alias("value_num"), txt.alias("value_text"), (F.lit(d) if isinstance(d, str) else d).alias("description"),
             ch.cast("bigint").alias("change_pct"), pr.cast("double").alias("progress"), tr.alias("trend"),
         )
         for k, (i, num, txt, d, ch, pr, tr) in enumerate(rows, 1)
@@ -121,5 +129,5 @@ def kpi_table(apps: DataFrame, tasks: DataFrame, rounds: DataFrame, profiles: Da
 
 def kpi_json(kpis: DataFrame) -> DataFrame:
     """(user_id, body): the indicators of a tenant as one JSON text."""
-    row = F.struct("ord", "id", "value_text", "change_pct", "trend")
+    row = F.struct("ord", "id", "title", F.col("value_text").alias("value"), "description", "change_pct", "progress", "trend")
     return kpis.groupBy("user_id").agg(F.to_json(F.sort_array(F.collect_list(row))).alias("body"))

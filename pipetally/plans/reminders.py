@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 
 # Hours of lead, half of the window in hours, most rounds of a run and lead.
 LEADS, HALF_WINDOW, MOST = (24, 48), 1, 50
+#: Picked rounds are broadcast up to so many.
+BROADCAST_ROWS = 10_000
 
 
 def wants_reminder(enabled: Column) -> Column:
@@ -17,13 +19,12 @@ def wants_reminder(enabled: Column) -> Column:
 
 def due_rounds(rounds: DataFrame, now: Column, leads: tuple[int, ...] = LEADS, sent: dict[int, str] | None = None) -> DataFrame:
     """``rounds`` with ``lead``: unsent for it and scheduled in [now + lead - 1 h, now + lead + 1 h)."""
-    out = None
-    for h in leads:
-        lo, hi = (F.timestamp_add("HOUR", F.lit(h + d), now) for d in (-HALF_WINDOW, HALF_WINDOW))
-        flag = (sent or {}).get(h, "sent")
-        part = rounds.filter((F.col("scheduled_date") >= lo) & (F.col("scheduled_date") < hi) & F.col(flag).isNull()).withColumn("lead", F.lit(h))
-        out = part if out is None else out.unionByName(part)
-    return out
+    at = lambda h: F.timestamp_add("HOUR", F.lit(h), now)
+    when = F.col("scheduled_date")
+    due = [F.when((when >= at(h - HALF_WINDOW)) & (when < at(h + HALF_WINDOW)) & F.col((sent or {}).get(h, "sent")).isNull(), F.lit(h)) for h in leads]
+    # one scan, cut to all windows before the leads are told apart
+    near = rounds.filter((when >= at(min(leads) - HALF_WINDOW)) & (when < at(max(leads) + HALF_WINDOW)))
+    return near.withColumn("lead", F.explode(F.array_compact(F.array(*due))))
 
 
 def capped(due: DataFrame, order: list[Column], most: int = MOST) -> DataFrame:
@@ -38,9 +39,13 @@ def reminder_outbox(rounds: DataFrame, profiles: DataFrame, apps: DataFrame, now
     """
     picked = capped(due_rounds(rounds, now, leads, sent), order, cap)
     who = profiles.select(F.col("id").alias("user_id"), "email", "interview_reminders_enabled")
-    # at most ``cap`` rows a lead: the small side is theirs
-    rows = who.join(F.broadcast(picked), "user_id").filter((F.coalesce("email", F.lit("")) != "") & wants_reminder(F.col("interview_reminders_enabled")))
-    rows = rows.join(apps, ["application_id", "user_id"], "left")
+    # at most ``cap`` rows a lead are picked, so theirs is the small side while the cap is
+    small = F.broadcast if cap * len(leads) <= BROADCAST_ROWS else lambda df: df
+    rows = who.join(small(picked), "user_id").filter((F.coalesce("email", F.lit("")) != "") & wants_reminder(F.col("interview_reminders_enabled")))
+    keys = ["application_id", "user_id"]
+    named = apps.join(small(rows.select(*keys).distinct()), keys).select(*keys, "company_name")
+    rows = rows.join(small(named), keys, "left")
+    # the wording is a fixed value
     company = F.coalesce("company_name", F.lit("your interview"))
     when = F.date_format("scheduled_date", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     hours = F.col("lead").cast("string")
@@ -57,19 +62,35 @@ def stamp_sent(rounds: DataFrame, outbox: DataFrame, key: list[str], column: str
     return out.withColumn(column, F.coalesce(F.col(column), F.when(F.col("__hit"), now))).select(*rounds.columns)
 
 
-def application_saved(apps: DataFrame, product: str) -> DataFrame:
-    """(subject, text) of the message about a saved application."""
-    c = F.col
-    return apps.select(
-        "*", F.concat(F.lit("Application saved for "), c("company_name")).alias("subject"),
-        F.concat(F.lit("Your application for "), c("position_title"), F.lit(" at "), c("company_name"), F.lit(f" was saved in {product}.")).alias("text"),
-    )
+# The wording of the messages below is a fixed value.
+
+
+def _with_address(rows: DataFrame, profiles: DataFrame, preference: str) -> DataFrame:
+    """``rows`` of tenants with an address who want this kind of mail, with ``to``."""
+    wants = wants_reminder(F.col(preference)) if preference in profiles.columns else F.lit(True)
+    who = profiles.filter((F.coalesce("email", F.lit("")) != "") & wants).select(F.col("id").alias("user_id"), F.col("email").alias("to"))
+    return rows.join(who, "user_id")
 
 
-def interview_scheduled(rounds: DataFrame) -> DataFrame:
-    """(subject, text) of the message about a scheduled interview."""
+def application_outbox(apps: DataFrame, profiles: DataFrame, product: str) -> DataFrame:
+    """``apps`` that were saved, with ``to``, ``subject`` and ``text`` of the message about each."""
     c = F.col
-    return rounds.select(
-        "*", F.concat(F.lit("Interview scheduled with "), c("company_name")).alias("subject"),
-        F.concat(F.lit("Your interview with "), c("company_name"), F.lit(" is scheduled for "), c("scheduled_date").cast("string"), F.lit(". We'll remind you ahead of time.")).alias("text"),
-    )
+    return _with_address(apps, profiles, "application_updates_enabled").withColumns({
+        "subject": F.concat(F.lit("Application saved for "), c("company_name")),
+        "text": F.concat(F.lit("Your application for "), c("position_title"), F.lit(" at "), c("company_name"), F.lit(f" was saved in {product}.")),
+    })
+
+
+def interview_outbox(rounds: DataFrame, profiles: DataFrame, apps: DataFrame) -> DataFrame:
+    """``rounds`` that were scheduled, with ``to``, ``subject`` and ``text`` of the message about each.
+
+    ``apps``: (application_id, user_id, company_name); a missing one is "your interview".  Rounds without a time get none.
+    """
+    rows = _with_address(rounds.filter(F.col("scheduled_date").isNotNull()), profiles, "interview_reminders_enabled")
+    rows = rows.join(apps.select("application_id", "user_id", "company_name"), ["application_id", "user_id"], "left")
+    company = F.coalesce("company_name", F.lit("your interview"))
+    when = F.date_format("scheduled_date", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return rows.withColumns({
+        "subject": F.concat(F.lit("Interview scheduled with "), company),
+        "text": F.concat(F.lit("Your interview with "), company, F.lit(" is scheduled for "), when, F.lit(". We'll remind you ahead of time.")),
+    })

@@ -40,14 +40,17 @@ def calendar_items(tasks: DataFrame, rounds: DataFrame, profiles: DataFrame, anc
     ``at`` is the wall-clock time in the tenant's zone; a due date stands for its noon in UTC.
     """
     zone = profiles.select(F.col("id").alias("user_id"), "time_zone")
-    due = tasks.filter((F.col("status") == "Pending") & F.col("due_date").isNotNull()).join(zone, "user_id")
+    first = week_start(anchor)
+    last = F.date_add(first, weeks * 7 - 1)
+    # no zone is a day or more from UTC, so a wider range is cut before anything is joined
+    near = lambda c: F.col(c).between(F.date_sub(first, 1).cast("timestamp_ntz"), F.date_add(last, 2).cast("timestamp_ntz"))
+    due = tasks.filter((F.col("status") == "Pending") & F.col("due_date").between(F.date_sub(first, 1), F.date_add(last, 1))).join(zone, "user_id")
     due = due.select("user_id", F.lit("Task").alias("type"), F.col("id").cast("string").alias("id"), F.col("title"), noon_in(F.col("due_date"), F.col("time_zone")).alias("at"))
-    met = rounds.filter(F.col("scheduled_date").isNotNull()).join(zone, "user_id")
+    met = rounds.filter(near("scheduled_date")).join(zone, "user_id")
     met = met.select("user_id", F.lit("Interview").alias("type"), F.col("id").cast("string").alias("id"), F.concat(F.lit("Interview · "), F.col("interview_type")).alias("title"),
                      wall_clock(F.col("scheduled_date"), F.col("time_zone")).alias("at"))
     day = F.col("at").cast("date")
-    first = week_start(anchor)
-    return due.unionByName(met).withColumn("day", day).filter(F.col("day").between(first, F.date_add(first, weeks * 7 - 1)))
+    return due.unionByName(met).withColumn("day", day).filter(F.col("day").between(first, last))
 
 
 def calendar(items: DataFrame) -> DataFrame:

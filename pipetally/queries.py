@@ -13,7 +13,7 @@ from pipetally.operators import aggregates as agg
 from pipetally.operators import changes, rows, validation
 from pipetally.plans import kpi, reminders
 from pipetally.plans import timeline as tl
-from pipetally.sources import blobs, csvio
+from pipetally.sources import blobs, csvio, requests
 from pipetally.sources import crosswalk as x
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,12 @@ def profile_goals(spark, d):
     return p.select("id", changes.column_or(p, "monthly_application_goal", 200).alias("monthly_goal"), changes.column_or(p, "daily_application_goal", 10).alias("daily_goal"))
 
 
+@query("select c_custkey id, coalesce(case when c_custkey % 2 = 0 then c_nationkey end, 200) monthly_goal, cast(10 as int) daily_goal from customer")
+def profile_goals_set(spark, d):
+    p = x.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey")).alias("monthly_application_goal"))
+    return p.select("id", changes.column_or(p, "monthly_application_goal", 200).alias("monthly_goal"), changes.column_or(p, "daily_application_goal", 10).alias("daily_goal"))
+
+
 @query(f"with {A} select id, user_id, status from apps where status = 'Rejected'")
 def filter_status(spark, d):
     return rows.select_rows(x.applications(spark, d), ["id", "user_id", "status"], where=rows.equal_if("status", "Rejected") + rows.equal_if("position_title", ""))
@@ -222,7 +228,7 @@ count(*) filter (status = 'Interview Completed') interview_completed, count(*) f
 count(*) filter (status = 'Withdrawn') withdrawn from apps group by 1), f as (select user_id, count(distinct application_id) n from rounds where result = 'Failed' group by 1)
 select s.*, coalesce(n, 0) rejected_after_interview, applied + interview_scheduled + interview_completed + offer_received + rejected + withdrawn + coalesce(n, 0) flow_total from s left join f using (user_id)""")
 def flow(spark, d):
-    return agg.stage_flow(x.applications(spark, d), x.tenant_rounds(spark, d))
+    return agg.stage_flow(x.applications(spark, d), x.rounds(spark, d))
 
 
 @query(f"""with {A}, w as (select user_id, cast(date_trunc('week', application_date) as date) wk, count(*) n from apps group by 1, 2),
@@ -306,9 +312,11 @@ def _kpi_sql() -> str:
         ("most-productive-week", "bn", "case when bn > 0 then bn || ' apps' else 'No data' end", "case when bw is not null then 'Week of ' || bw else 'No activity yet' end", "case when bn > 0 then " + pct("bn", "rm") + " else 0 end", "null", "trend"),
         ("current-momentum", "l7 / 7", "replace(printf('%.1f', l7 / 7), ',', '') || '/day'", "'7-day average'", pct("(l7 / 7)", "(p7 / 7)"), "null", "trend"),
     ]
+    titles = ["Total Applications", "Pending Tasks", "Upcoming Interviews", "Monthly Application Goal", "Daily Application Goal", "Application Velocity Change", "Application Streak", "Silence Rate",
+              "Most Productive Week", "Current Momentum"]
     union = " union all ".join(
-        f"select user_id, cast({k} as int) ord, '{i}' id, cast({n} as double) value_num, {t} value_text, {de} description, cast({c} as bigint) change_pct, cast({p} as double) progress, [cast(v as bigint) for v in {tr}] trend from z"
-        for k, (i, n, t, de, c, p, tr) in enumerate(rows_, 1))
+        f"select user_id, cast({k} as int) ord, '{i}' id, '{t_}' title, cast({n} as double) value_num, {t} value_text, {de} description, cast({c} as bigint) change_pct, cast({p} as double) progress, [cast(v as bigint) for v in {tr}] trend from z"
+        for k, ((i, n, t, de, c, p, tr), t_) in enumerate(zip(rows_, titles), 1))
     return f"""with {A}, {R}, {T}, {P}, c as (select user_id, application_date "day", count(*) n, count(*) filter (status = 'Applied') a from apps group by 1, 2),
 tc as (select user_id, cast(created_at as date) "day", count(*) n from tasks group by 1, 2), rc as (select user_id, cast(scheduled_date as date) "day", count(*) n from rounds group by 1, 2),
 w as (select user_id, cast(date_trunc('week', "day") as date) wk, sum(n) n from c group by 1, 2), wr as (select *, row_number() over (partition by user_id order by wk desc) rn, row_number() over (partition by user_id order by n desc, wk) bb from w),
@@ -328,11 +336,38 @@ def kpi_table(spark, d):
     return _kpis(spark, d)
 
 
-@query(f"select user_id, cast(to_json(list({{'ord': ord, 'id': id, 'value_text': value_text, 'change_pct': change_pct, 'trend': trend}} order by ord)) as varchar) body from ({_kpi_sql()}) group by 1")
+_MEMBERS = ["ord", "id", "title", "value", "description", "change_pct", "progress", "trend"]
+
+
+@query("select user_id, '[' || string_agg('{' || array_to_string(list_filter([" + ", ".join(
+    f"'\"{m}\":' || cast(to_json({'value_text' if m == 'value' else m}) as varchar)" + (" " if m != "progress" else " ") for m in _MEMBERS)
+    + f"], lambda v: v is not null and not contains(v, '\"progress\":null')), ',') || '}}', ',' order by ord) || ']' body from ({_kpi_sql()}) group by 1")
 def kpi_json(spark, d):
     return kpi.kpi_json(_kpis(spark, d))
 
 
+@query(f"""with {T}, c as (select user_id, cast(created_at as date) "day", count(*) n from tasks group by 1, 2),
+p as (select user_id, 1 + user_id % 3 goal, case when user_id % 4 <> 0 then (user_id % 5) * 10 end mg from (select distinct user_id from c)),
+k as (select a.d, c.user_id, "day", row_number() over (partition by a.d, c.user_id order by "day" desc) - 1 b from c join p using (user_id), (values (date '{TASKS_DAY}'), (date '{TASKS_DAY}' - 1)) a(d) where n >= goal and "day" <= a.d),
+s as (select user_id, count(*) filter (d = date '{TASKS_DAY}' and d - "day" = b) now_, count(*) filter (d = date '{TASKS_DAY}' - 1 and d - "day" = b) before_ from k group by 1),
+g as (select p.user_id, goal, coalesce(mg, 200) mg, coalesce(now_, 0) st, coalesce(before_, 0) sb, coalesce((select n from c where c.user_id = p.user_id and "day" = date '{TASKS_DAY}'), 0) td,
+  coalesce((select n from c where c.user_id = p.user_id and "day" = date '{TASKS_DAY}' - 1), 0) yd,
+  coalesce((select sum(n) from c where c.user_id = p.user_id and "day" between date '2024-01-01' and date '{TASKS_DAY}'), 0) m,
+  coalesce((select sum(n) from c where c.user_id = p.user_id and "day" between date '2023-12-01' and date '2023-12-30'), 0) pm from p left join s using (user_id))
+select user_id, 'application-streak' id, st || ' days' value_text, {pct('st', 'sb')} change_pct, cast(null as double) progress from g
+union all select user_id, 'daily-goal', td || '/' || goal, {pct('td', 'yd')}, least(td / goal, 1.0) from g
+union all select user_id, 'monthly-goal', case when mg > 0 then m || '/' || mg else 'Set a goal' end, {pct('m', 'pm')}, case when mg > 0 then least(m / mg, 1.0) else 0 end from g""")
+def kpi_goals(spark, d):
+    """Streaks and goals of tenants who set goals and meet them: the indicators over the daily tasks."""
+    t = x.tasks(spark, d)
+    apps = t.select("id", "user_id", F.col("created_at").cast("date").alias("application_date"), F.lit("Applied").alias("status"))
+    own = t.select(F.col("user_id").alias("id")).distinct()
+    own = own.withColumns({"daily_application_goal": 1 + F.col("id") % 3, "monthly_application_goal": F.when(F.col("id") % 4 != 0, (F.col("id") % 5) * 10)})
+    rounds_ = t.select("user_id", F.col("created_at").alias("scheduled_date"))
+    out = kpi.kpi_table(apps, t, rounds_, own, tasks_day(), F.expr(f"timestamp_ntz'{TASKS_DAY} 00:00:00'"))
+    return out.filter(F.col("id").isin("application-streak", "daily-goal", "monthly-goal")).select("user_id", "id", "value_text", "change_pct", "progress")
+
+
 # ---- joins and sets ---------------------------------------------------------------------------------------------------
 
 
@@ -374,39 +409,41 @@ def reminder_outbox(spark, d):
     return box.select(*keys, "lead", "to", "subject", "text")
 
 
+@query(f"""with {A}, {P} select apps.id, email "to", 'Application saved for ' || c_name subject, 'Your application for ' || position_title || ' at ' || c_name || ' was saved in Tally.' "text"
+from apps join profiles on user_id = profiles.id join customer on c_custkey = user_id where email is not null and coalesce(user_id % 6 <> 1, true)""")
+def application_outbox(spark, d):
+    apps = x.applications(spark, d).join(x.companies(spark, d), "user_id")
+    who = x.profiles(spark, d).withColumn("application_updates_enabled", F.when(F.col("id") % 6 == 1, False))
+    return reminders.application_outbox(apps, who, "Tally").select("id", "to", "subject", "text")
+
+
+@query(f"""with {R}, {P}, {A}, o as (select r.*, email, case when r.user_id % 3 <> 0 then full_name end company from rounds r join profiles on r.user_id = profiles.id
+  where part % 10 <> 0 and coalesce(interview_reminders_enabled, true) and email is not null)
+select application_id, round_number, part, supplier, email "to", 'Interview scheduled with ' || coalesce(company, 'your interview') subject,
+'Your interview with ' || coalesce(company, 'your interview') || ' is scheduled for ' || strftime(scheduled_date, '%Y-%m-%dT%H:%M:%S.%gZ') || '. We''ll remind you ahead of time.' "text" from o""")
+def interview_outbox(spark, d):
+    named = x.companies(spark, d).filter(F.pmod("user_id", F.lit(3)) != 0)
+    apps = x.applications(spark, d).join(named, "user_id").select(F.col("id").alias("application_id"), "user_id", "company_name")
+    r = x.tenant_rounds(spark, d).withColumn("scheduled_date", F.when(F.pmod("part", F.lit(10)) != 0, F.col("scheduled_date")))
+    return reminders.interview_outbox(r, x.profiles(spark, d), apps).select("application_id", "round_number", "part", "supplier", "to", "subject", "text")
+
+
 @query(f"""with {_OUTBOX}, h as (select distinct application_id, round_number, part, supplier from o where lead = 24)
-select r.application_id, r.round_number, r.part, r.supplier, coalesce(sent, case when h.part is not null then '{NOW}' end) sent from rounds r left join h using (application_id, round_number, part, supplier) where r.scheduled_date >= timestamp '{NOW}'""")
+select r.application_id, r.round_number, r.part, r.supplier, coalesce(sent, case when h.part is not null then '{NOW}' end) sent from rounds r left join h using (application_id, round_number, part, supplier)""")
 def stamp_sent(spark, d):
     box, keys = _outbox(spark, d)
-    rounds_ = x.tenant_rounds(spark, d).filter(F.col("scheduled_date") >= now())
-    return reminders.stamp_sent(rounds_, box.filter("lead = 24"), keys, "sent", F.lit(NOW)).select(*keys, "sent")
+    return reminders.stamp_sent(x.rounds(spark, d), box.filter("lead = 24"), keys, "sent", F.lit(NOW)).select(*keys, "sent")
 
 
 _EVENTS = f"""{R}, {C}, {T}, {D}, e as (
-select application_id, 'interview' "type", round_number || '.' || part || '.' || supplier id, interview_type || ' Interview - Round ' || round_number title, null description, scheduled_date "at", result status from rounds where application_id < 500
-union all select application_id, 'contact', id::varchar, 'Added contact: ' || "name", case when "position" is not null then case when company is not null then "position" || ' at ' || company else "position" end else company end, created_at, null from contacts where application_id < 500
-union all select id, 'task', id::varchar, title, null, coalesce(due_date::timestamp, created_at), status from tasks where id < 500
-union all select application_id, 'document', id::varchar, 'Uploaded: ' || filename, null, uploaded_at, null from docs where application_id < 500)"""
+select application_id, 'interview' "type", round_number || '.' || part || '.' || supplier id, interview_type || ' Interview - Round ' || round_number title, null description, scheduled_date "at", result status from rounds
+union all select application_id, 'contact', id::varchar, 'Added contact: ' || "name", case when "position" is not null then case when company is not null then "position" || ' at ' || company else "position" end else company end, created_at, null from contacts
+union all select id, 'task', id::varchar, title, null, coalesce(due_date::timestamp, created_at), status from tasks
+union all select application_id, 'document', id::varchar, 'Uploaded: ' || filename, null, uploaded_at, null from docs)"""
 
 
 @query(f"with {_EVENTS} select *, cast(row_number() over (partition by application_id order by \"at\" desc, \"type\", id, title) as int) pos from e")
 def timeline(spark, d):
-    some = F.col("application_id") < 500
-    r = x.rounds(spark, d).withColumn("id", F.concat_ws(".", "round_number", "part", "supplier"))
-    t = x.tasks(spark, d).withColumn("application_id", F.col("id"))
-    events = tl.timeline(r.filter(some), x.contacts(spark, d).filter(some), t.filter(some), x.documents(spark, d).filter(some))
-    pos = F.row_number().over(W.partitionBy("application_id").orderBy(F.desc("at"), "type", "id", "title"))
-    return events.withColumn("pos", pos)
-
-
-@query(f"""with {R}, {C}, {T}, {D}, e as (
-select application_id, 'interview' "type", round_number || '.' || part || '.' || supplier id, interview_type || ' Interview - Round ' || round_number title, null description, scheduled_date "at", result status from rounds
-union all select application_id, 'contact', id::varchar, 'Added contact: ' || "name", case when "position" is not null then case when company is not null then "position" || ' at ' || company else "position" end else company end, created_at, null from contacts
-union all select id, 'task', id::varchar, title, null, coalesce(due_date::timestamp, created_at), status from tasks
-union all select application_id, 'document', id::varchar, 'Uploaded: ' || filename, null, uploaded_at, null from docs)
-select *, cast(row_number() over (partition by application_id order by "at" desc, "type", id, title) as int) pos from e""")
-def timeline_all(spark, d):
-    """The timelines of all applications; ``timeline`` is held to its SQL, which has those of the first ones."""
     r = x.rounds(spark, d).withColumn("id", F.concat_ws(".", "round_number", "part", "supplier"))
     t = x.tasks(spark, d).withColumn("application_id", F.col("id"))
     pos = F.row_number().over(W.partitionBy("application_id").orderBy(F.desc("at"), "type", "id", "title"))
@@ -451,6 +488,15 @@ def missing_columns(spark, d):
 # ---- changes and rules ------------------------------------------------------------------------------------------------
 
 
+@query(f"""with {A} select id, case when id % 4 = 0 then null when id % 4 = 1 then 'moved' else position_title end position_title, case when id % 4 = 1 then 'Rejected' else status end status from apps""")
+def updates_to_null(spark, d):
+    """A change sets what it gives, null too, and nothing else."""
+    apps = x.applications(spark, d).select("id", "position_title", "status")
+    m = F.pmod("id", F.lit(4))
+    new = apps.filter(m <= 1).select("id", F.when(m == 1, "moved").alias("position_title"), F.lit("Rejected").alias("status"), F.when(m == 1, F.array(F.lit("position_title"), F.lit("status"))).otherwise(F.array(F.lit("position_title"))).alias("given"))
+    return changes.apply_updates(apps, new, ["id"], given="given")
+
+
 @query(f"with {A}, {R} select application_id, round_number, part, supplier from rounds where application_id not in (select id from apps where status = 'Withdrawn')")
 def cascade_anti(spark, d):
     apps = x.applications(spark, d)
@@ -476,10 +522,10 @@ def apply_updates(spark, d):
     return changes.apply_updates(apps, new, ["id"], now())
 
 
-@query(f"with {A} select id, status, timestamp '2001-01-01' created_at from apps union all select -id - 1, 'Applied', timestamp '{NOW}' from apps where id < 100")
+@query(f"with {A} select id, status, timestamp '2001-01-01' created_at from apps union all select -id - 1, 'Applied', timestamp '{NOW}' from apps")
 def append_rows(spark, d):
     apps = x.applications(spark, d).select("id", "status").withColumn("created_at", F.expr("timestamp_ntz'2001-01-01 00:00:00'"))
-    return changes.append_rows(apps, apps.filter("id < 100").select((-F.col("id") - 1).alias("id"), F.lit("Applied").alias("status")), now())
+    return changes.append_rows(apps, apps.select((-F.col("id") - 1).alias("id"), F.lit("Applied").alias("status")), now())
 
 
 @query(f"with {A} select id, status from apps where id % 7 <> 0")
@@ -512,6 +558,23 @@ def reminder_preferences(spark, d):
     return x.profiles(spark, d).select("id", reminders.wants_reminder(F.col("interview_reminders_enabled")).alias("wants"))
 
 
+@query(f"""with {P} select id, list_filter([case when id % 8 = 0 then 'Full name is required' end, case when id % 5 = 0 then 'monthly_application_goal: must be 0 or more' end], lambda m: m is not null) errors
+from profiles where id % 8 = 0 or id % 5 = 0""")
+def validate_profiles(spark, d):
+    p = x.profiles(spark, d).select("id", F.when(F.col("id") % 8 == 0, "").otherwise(F.nullif("full_name", F.lit("nobody"))).alias("full_name"), F.when(F.col("id") % 5 == 0, -1).alias("monthly_application_goal"), F.lit(0).alias("daily_application_goal"))
+    return validation.split_valid(p, validation.profile_rules())[1].select("id", "errors")
+
+
+@query(f"""with {T} select id, list_filter([case when id % 9 = 0 and id % 2 = 0 then 'Title is required' end, case when id % 11 = 0 and id % 3 = 0 then 'priority: must be one of Low, Medium, High, Critical' end], lambda m: m is not null) errors
+from tasks where id % 9 = 0 and id % 2 = 0 or id % 11 = 0 and id % 3 = 0""")
+def validate_partial(spark, d):
+    """A partial update is judged on the fields that it gives."""
+    given = F.array_compact(F.array(F.when(F.col("id") % 2 == 0, F.lit("title")), F.when(F.col("id") % 3 == 0, F.lit("priority"))))
+    t = x.tasks(spark, d).select("id", F.lit(None).cast("string").alias("status"), F.lit("x").alias("application_id"), F.when(F.col("id") % 9 == 0, "").otherwise(F.col("title")).alias("title"),
+                                 F.when(F.col("id") % 11 == 0, "Urgent").otherwise(F.col("priority")).alias("priority"), given.alias("given"))
+    return validation.split_valid(t, validation.partial(validation.task_rules_by_column()))[1].select("id", "errors")
+
+
 # ---- CSV, blobs, JSON -------------------------------------------------------------------------------------------------
 
 
@@ -540,15 +603,28 @@ def csv_roundtrip(spark, d):
     return back.select("id", "company_name", "position_title", "application_date", "status", "notes")
 
 
-@query(f"""with {A}, b as (select id, row_number() over (order by id) + 1 n, case when id % 13 = 0 then '' else position_title end p, case when id % 17 = 0 then 'Unknown' else status end s from apps where user_id = 7)
-select 'Row ' || n || ': ' || array_to_string(list_filter([case when p = '' then 'Position title is required' end, case when s = 'Unknown' then 'status: must be one of Applied, Interview Scheduled, Interview Completed, Offer Received, Rejected, Withdrawn' end], lambda m: m is not null), ', ') message
+@query(f"""with {A}, b as (select id, user_id, row_number() over (partition by user_id order by id) + 1 n, case when id % 13 = 0 then '' else position_title end p, case when id % 17 = 0 then 'Unknown' else status end s from apps)
+select user_id, 'Row ' || n || ': ' || array_to_string(list_filter([case when p = '' then 'Position title is required' end, case when s = 'Unknown' then 'status: must be one of Applied, Interview Scheduled, Interview Completed, Offer Received, Rejected, Withdrawn' end], lambda m: m is not null), ', ') message
 from b where p = '' or s = 'Unknown'""")
 def csv_validate(spark, d):
-    e = _export(spark, d).filter("user_id = 7")
+    e = _export(spark, d)
     e = e.withColumn("position_title", F.when(F.col("id") % 13 == 0, "").otherwise(F.col("position_title"))).withColumn("status", F.when(F.col("id") % 17 == 0, "Unknown").otherwise(F.col("status")))
-    head = spark.range(1).select(F.lit(csvio.csv_header()).alias("value"), F.lit(-1).cast("long").alias("at"))
-    lines = head.unionByName(e.select(csvio.csv_line(e).alias("value"), F.col("id").alias("at")))
-    return csvio.parse_applications(lines, order=F.col("at"))[1].select("message")
+    head = e.select("user_id").distinct().select(F.lit(csvio.csv_header()).alias("value"), F.lit(-1).cast("long").alias("at"), "user_id")
+    lines = head.unionByName(e.select(csvio.csv_line(e).alias("value"), F.col("id").alias("at"), "user_id"))
+    return csvio.parse_applications(lines, order=F.col("at"), file="user_id")[1].select(F.col("file").alias("user_id"), "message")
+
+
+@query(f"""with {A}, bad as (select distinct user_id from apps where id % 13 = 0), n as (select id, user_id, application_date, status, position_title from apps)
+select id, user_id, application_date, status, position_title from n union all
+select null, user_id, application_date, status, position_title from n where user_id not in (select user_id from bad)""")
+def csv_import(spark, d):
+    """Every tenant imports its own export; a file with a bad row is rejected whole."""
+    apps = x.applications(spark, d)
+    e = _export(spark, d).withColumn("position_title", F.when(F.col("id") % 13 == 0, "").otherwise(F.col("position_title")))
+    head = e.select("user_id").distinct().select(F.lit(csvio.csv_header()).alias("value"), F.lit(-1).cast("long").alias("at"), "user_id")
+    lines = head.unionByName(e.select(csvio.csv_line(e).alias("value"), F.col("id").alias("at"), "user_id"))
+    good, _ = csvio.parse_applications(lines, order=F.col("at"), file="user_id")
+    return csvio.import_applications(apps, good.withColumn("tenant", F.col("file")), F.col("tenant"))
 
 
 @query(f"with {D} select id, 'data:text/plain;base64,' || base64(encode(text)) url from docs")
@@ -572,6 +648,22 @@ def json_fields(spark, d):
     return x.tasks(spark, d).select("id", F.get_json_object("props", "$.k").try_cast("int").alias("k"), F.coalesce(F.get_json_object("props", "$.full_name"), F.lit("")).alias("full_name"))
 
 
+@query("""select event_id id, 't' || event_id title, case when event_id % 3 = 0 then null else 'High' end priority, case when event_id % 3 <> 1 then ['title', 'priority'] else ['title'] end given
+from events where event_id % 7 <> 0 and event_id % 3 <> 1 union all select event_id, 't' || event_id, null, ['title'] from events where event_id % 7 <> 0 and event_id % 3 = 1""")
+def json_requests(spark, d):
+    """Request bodies as rows: a field may be left out or null; what is no object is an error."""
+    m = F.col("event_id") % 3
+    tail = F.when(m == 0, ', "priority": null').when(m == 1, "").otherwise(', "priority": "High"')
+    body = F.when(F.col("event_id") % 7 == 0, "[not json").otherwise(F.concat(F.lit('{"title": "t'), F.col("event_id").cast("string"), F.lit('"'), tail, F.lit("}")))
+    return requests.parse_bodies(x.table(spark, d, "events").select(F.col("event_id").alias("id"), body.alias("body")), "title string, priority string")[0]
+
+
+@query("select doc_id id, case when coalesce(n_chars, 0) % 5 = 0 then 'Unknown size' when n_chars < 1024 then n_chars || ' Bytes' else regexp_replace(printf('%.2f', floor(n_chars / 1024 * 100 + 0.5) / 100), '\\.?0+$', '') || ' KB' end size from documents")
+def document_sizes_shown(spark, d):
+    n = F.when(F.col("n_chars") % 5 == 0, F.when(F.col("n_chars") % 2 == 0, 0)).otherwise(F.col("n_chars"))
+    return x.table(spark, d, "documents").select(F.col("doc_id").alias("id"), texts.shown_size(n).alias("size"))
+
+
 # ---- scalar functions -------------------------------------------------------------------------------------------------
 
 
@@ -623,3 +715,16 @@ def status_map(spark, d):
     m = agg.status_breakdown(x.applications(spark, d)).groupBy("user_id").agg(by_status.alias("m"))
     listed = F.sort_array(F.transform(F.map_entries("m"), lambda e: F.concat_ws(": ", e.key, e.value.cast("string"))))
     return m.select("user_id", listed.alias("counts"), F.try_element_at("m", F.lit("Applied")).alias("applied"))
+
+
+@query(f"""with {A} select id, strftime(application_date, '%a') weekday, strftime(application_date, '%-d') "day", strftime(application_date, '%A, %b %-d') title,
+strftime(application_date + to_hours(id % 24), '%-I:%M %p') "time", case when id % 3 = 0 then '' when id % 3 = 1 then 'soon' else strftime(application_date, '%b %-d, %Y') end shown,
+case when id % 3 = 2 then application_date end parsed from apps""")
+def calendar_labels(spark, d):
+    day = F.col("application_date")
+    at = F.timestamp_add("HOUR", (F.col("id") % 24).cast("int"), day.cast("timestamp_ntz"))
+    text = F.when(F.col("id") % 3 == 1, "soon").when(F.col("id") % 3 == 2, day.cast("string"))
+    return x.applications(spark, d).select(
+        "id", dates.calendar_label(day, "weekday").alias("weekday"), dates.calendar_label(day, "day").alias("day"), dates.calendar_label(day, "title").alias("title"),
+        dates.calendar_label(at, "time").alias("time"), dates.display_day_text(text, F.lit("UTC")).alias("shown"), texts.date_only(text).alias("parsed"),
+    )

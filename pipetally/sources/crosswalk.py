@@ -86,7 +86,7 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, application_id, name, position, company, created_at) of each supplier."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     key = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select(
+    return table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         key.alias("id"), key.alias("application_id"), F.col("s_name").alias("name"), F.when(F.pmod("s_nationkey", F.lit(3)) != 0, "Recruiter").alias("position"),
         F.when(F.pmod("s_nationkey", F.lit(5)) != 1, F.col("n_name")).alias("company"), F.timestamp_add("DAY", F.pmod(key, F.lit(30)).cast("int"), F.expr("timestamp_ntz'2001-06-01 09:00:00'")).alias("created_at"),
     )

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pipetally.functions.texts import or_else, trimmed
+from pipetally.operators.changes import append_rows
 from pipetally.operators.validation import Rule, application_rules, validate
 
 # The exported columns in order, and those that an import needs.
@@ -24,48 +29,65 @@ def fields(line: Column) -> Column:
     return F.transform(found, lambda x: trimmed(F.replace(F.regexp_replace(x, r'"((?:[^"]|"")*+)(?:"|$)', "$1"), F.lit('""'), F.lit('"'))))
 
 
-def numbered_lines(lines: DataFrame, order: Column | None = None) -> DataFrame:
-    """(line, n) of the lines that are not blank, from 1; lines of one file must be in one partition's order.
+def numbered_lines(lines: DataFrame, order: Column | None = None, file: str | None = None, block: Sequence[str] = ()) -> DataFrame:
+    """(file, line, n) of the lines that are not blank, from 1 in every file.
 
-    Numbers run over the file, so this is one file's import, not a bulk load: a file is numbered in one task.
+    ``file`` names the column that tells files apart (none: all are one file).  Lines follow ``order``, or
+    the order in which a task reads them.  ``block`` columns, in order, part a file further (as ``read_csv_rows``
+    does by split), so that no task numbers a whole file: each block starts after the lines of those before it.
     """
-    rows = lines.select(F.col("value").alias("line"), (F.monotonically_increasing_id() if order is None else order).alias("at")).filter(trimmed(F.col("line")) != "")
-    return rows.withColumn("n", F.row_number().over(W.orderBy("at"))).select("line", "n")
+    rows = lines.filter(trimmed(F.col("value")) != "").select(
+        (F.col(file) if file else F.lit("")).alias("file"), F.col("value").alias("line"), (F.monotonically_increasing_id() if order is None else order).alias("at"), *block)
+    n = F.row_number().over(W.partitionBy("file", *block).orderBy("at"))
+    if not block:
+        return rows.withColumn("n", n).select("file", "line", "n")
+    counts = rows.groupBy("file", *block).agg(F.count("*").alias("c"))  # one row a block
+    before = F.coalesce(F.sum("c").over(W.partitionBy("file").orderBy(*block).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("file", *block, before.alias("before"))
+    return rows.withColumn("n", n).join(starts, ["file", *block]).select("file", "line", (F.col("n") + F.col("before")).cast("int").alias("n"))
 
 
-def parse_applications(lines: DataFrame, rules: list[Rule] | None = None, order: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors) of a file of applications: one bad row rejects it whole, so either is empty.
+def parse_applications(lines: DataFrame, rules: list[Rule] | None = None, order: Column | None = None, file: str | None = None, block: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) of files of applications, both with ``file``: one bad row rejects its file whole.
 
     A missing header or required column is an error of the file.  Unknown columns are ignored, the last of
     repeated ones counts, short rows are padded with empty texts, and rows are named by their place among
     the lines that are not blank.
     """
-    rows = numbered_lines(lines, order).withColumn("f", fields(F.col("line")))
-    head = rows.filter("n = 1").select(F.transform("f", lambda h: F.lower(trimmed(h))).alias("h"))
+    rows = numbered_lines(lines, order, file, block).withColumn("f", fields(F.col("line")))
+    head = rows.filter("n = 1").select("file", F.transform("f", lambda h: F.lower(trimmed(h))).alias("h"))
     have = F.array(*[F.lit(x) for x in NEEDED])
-    data = rows.filter("n > 1").crossJoin(F.broadcast(head)).select("n", "f", "h")
+    data = rows.filter("n > 1").join(head, "file").select("file", "n", "f", "h")
 
     def named(title: str) -> Column:
         at = F.size("h") - F.array_position(F.reverse("h"), F.lit(title.lower())) + 1
         found = F.array_contains("h", title.lower())
         return F.when(found, F.coalesce(F.get("f", (at - 1).cast("int")), F.lit("")))
 
-    parsed = data.select("n", *[named(t).alias(c) for t, c in HEADER.items()])
+    parsed = data.select("file", "n", *[named(t).alias(c) for t, c in HEADER.items()])
     checked = validate(parsed, application_rules() if rules is None else rules)
-    missing = head.select(F.array_except(have, F.col("h")).alias("m")).filter(F.size("m") > 0)
-    missing = missing.select(F.lit(0).alias("n"), F.concat(F.lit("Missing required columns: "), F.array_join("m", ", ")).alias("message"))
-    few = rows.agg(F.count("*").alias("c")).filter("c < 2").select(F.lit(0).alias("n"), F.lit("CSV file must contain headers and at least one data row").alias("message"))
-    bad = checked.filter(F.size("errors") > 0).select("n", F.concat(F.lit("Row "), F.col("n").cast("string"), F.lit(": "), F.array_join("errors", ", ")).alias("message"))
+    missing = head.select("file", F.array_except(have, F.col("h")).alias("m")).filter(F.size("m") > 0)
+    missing = missing.select("file", F.lit(0).alias("n"), F.concat(F.lit("Missing required columns: "), F.array_join("m", ", ")).alias("message"))
+    filled = F.count(F.when(trimmed(F.col("value")) != "", 1)).alias("c")
+    few = lines.groupBy(F.col(file).alias("file")).agg(filled) if file else lines.agg(filled).withColumn("file", F.lit(""))
+    few = few.filter("c < 2").select("file", F.lit(0).alias("n"), F.lit("CSV file must contain headers and at least one data row").alias("message"))
+    bad = checked.filter(F.size("errors") > 0).select("file", "n", F.concat(F.lit("Row "), F.col("n").cast("string"), F.lit(": "), F.array_join("errors", ", ")).alias("message"))
     whole = few.unionByName(missing)
-    any_whole = whole.agg((F.count("*") > 0).alias("w"))
-    errors = whole.unionByName(bad.join(F.broadcast(any_whole), ~F.col("w")).select("n", "message"))
-    any_error = errors.agg((F.count("*") > 0).alias("w"))
-    good = checked.drop("errors").join(F.broadcast(any_error), ~F.col("w")).drop("w")
+    errors = whole.unionByName(bad.join(whole.select("file"), "file", "left_anti"))
+    good = checked.drop("errors").join(errors.select("file"), "file", "left_anti")
     return good, errors
 
 
-def read_csv_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return parse_applications(spark.read.text(path, lineSep="\n"))
+def read_csv_rows(spark: SparkSession, path: str, rules: list[Rule] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) of the file, or of each file, at ``path``; large files are numbered by split."""
+    lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    return parse_applications(lines, rules, file="path", block=["start"])
+
+
+def import_applications(apps: DataFrame, rows: DataFrame, user_id: Column, as_of: Column | None = None) -> DataFrame:
+    """``apps`` and the parsed ``rows`` as new applications of a tenant; the columns that a table lacks are left out."""
+    new = rows.drop("file", "n").withColumns({"user_id": user_id, "application_date": F.col("application_date").try_cast("date")})
+    return append_rows(apps, new.select(*[c for c in new.columns if c in apps.columns]), as_of)
 
 
 def csv_line(df: DataFrame, compat: bool = False) -> Column:
@@ -90,8 +112,31 @@ def csv_header() -> str:
     return ",".join(HEADER)
 
 
-def write_csv(df: DataFrame, path: str, order: list[Column], compat: bool = False) -> None:
-    """The export as one ordered text file a partition, header first."""
-    spark = df.sparkSession
-    head = spark.range(1).select(F.lit(csv_header()).alias("value"))
+def write_csv_parts(df: DataFrame, path: str, order: list[Column], compat: bool = False) -> None:
+    """The export as ordered text files, one a partition, the header first: for tables of any size."""
+    head = df.sparkSession.range(1).select(F.lit(csv_header()).alias("value"))
     head.unionByName(csv_lines(df.orderBy(*order), compat)).write.mode("overwrite").text(path)
+
+
+def write_csv(df: DataFrame, path: str, order: list[Column], compat: bool = False) -> None:
+    """The export as the one file ``path``, byte for byte: lines parted by newlines, none after the last.
+
+    One file is one task's work, which sorts (and spills) the rows that stream through it; ``path`` (a URI) must be seen by it.
+    """
+    head = df.sparkSession.range(1).select(F.lit(csv_header()).alias("__line"), F.lit(0).alias("__part"))
+    rows = df.withColumns({"__line": csv_line(df, compat), "__part": F.lit(1)})
+    lines = rows.unionByName(head, allowMissingColumns=True).repartition(1).sortWithinPartitions("__part", *order).select(F.col("__line").alias("value"))
+
+    def work(batches):
+        fs, name = pafs.FileSystem.from_uri(path)
+        own = f"{name}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(own) as f:
+            first = True
+            for b in batches:
+                for v in b.column(0).to_pylist():
+                    f.write(v.encode() if first else b"\n" + v.encode())
+                    first = False
+        fs.move(own, name)
+        yield from ()
+
+    lines.mapInArrow(work, "value string").write.format("noop").mode("overwrite").save()

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql.streaming import StreamingQuery
+
+from pipetally.plans.reminders import LEADS, MOST, reminder_outbox
 
 
 def reminders_due(rounds: DataFrame, lead_hours: int = 24, lateness: str = "2 hours") -> DataFrame:
@@ -28,3 +34,28 @@ def weekly_activity(events: DataFrame, lateness: str = "7 days") -> DataFrame:
     """A stream of counts by Monday week; the epoch was a Thursday, so weeks start four days on."""
     w = F.window("ts", "7 days", "7 days", "4 days")
     return events.withWatermark("ts", lateness).groupBy(w).agg(F.count("*").alias("n")).select(F.col("window.start").cast("date").alias("wk"), "n")
+
+
+def reminder_polls(ticks: DataFrame, rounds: Callable[[], DataFrame], profiles: DataFrame, apps: DataFrame, key: list[str], outbox: str, checkpoint: str, cap: int = MOST, order: list[Column] | None = None) -> StreamingQuery:
+    """A stream of polls: every ``now`` (timestamp_ntz) of ``ticks`` writes its messages under ``outbox``, at most ``cap`` a lead.
+
+    What the outbox holds is sent, so a later poll passes over it and takes the next rounds; a batch that is
+    repeated after a failure overwrites its own part and does not see it.  A batch has a row a poll.
+    """
+    spark = ticks.sparkSession
+
+    def poll(batch: DataFrame, batch_id: int) -> None:
+        for k, r in enumerate(batch.select("now").distinct().orderBy("now").collect()):  # a row a poll
+            part = batch_id * 1_000_000 + k
+            have = rounds()
+            flags = {h: f"__sent_{h}" for h in LEADS}
+            sent = None
+            try:
+                sent = spark.read.parquet(outbox).filter(F.col("poll") < part).groupBy(*key).agg(*[F.max(F.when(F.col("lead") == h, True)).alias(f) for h, f in flags.items()])
+            except AnalysisException:  # nothing was sent yet
+                pass
+            have = have.join(sent, key, "left") if sent is not None else have.withColumns({f: F.lit(None).cast("boolean") for f in flags.values()})
+            box = reminder_outbox(have, profiles, apps, F.lit(r["now"]).cast("timestamp_ntz"), order or [F.col(c) for c in key], cap=cap, sent=flags)
+            box.select(*key, "lead", "to", "subject", "text").write.mode("overwrite").parquet(f"{outbox}/poll={part}")
+
+    return ticks.writeStream.foreachBatch(poll).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -69,9 +69,3 @@ def test_scan_is_pruned_and_filters_are_pushed(spark, small):
     assert "p_retailprice" not in plan
     plan = tracking.QUERIES["scan_tenant"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_custkey,7)" in plan
-
-
-def test_timeline_of_every_application(spark, small):
-    want = sum(t(spark, small).count() for t in (x.rounds, x.contacts, x.tasks, x.documents))
-    got = tracking.QUERIES["timeline_all"](spark, small)
-    assert got.count() == want and got.filter("application_id >= 500").count() > 0
