@@ -144,8 +144,8 @@ def train(rows: list[tuple[list[int], list[float]]], labels: np.ndarray, steps:
     return w
 
 
-def featured(docs: DataFrame) -> DataFrame:
-    """(doc, pattern, at, x): the votes and features of every whole text beside its row (a struct), written once.
+def featured(docs: DataFrame, columns: tuple[str, ...] = ("*",)) -> DataFrame:
+    """(doc, pattern, at, x): the votes and features of every whole text beside its row (a struct of ``columns``), written once.
 
     Fitting and scoring both read them.
     """
@@ -160,7 +160,7 @@ def featured(docs: DataFrame) -> DataFrame:
                 [pa.array(pattern, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], names=["pattern", "at", "x"]))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("pattern", pa.int32()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float32()))]))
 
-    rows = docs.select(F.struct("*").alias("doc"), found(F.col("text").cast("string")).alias("f"))
+    rows = docs.select(F.struct(*columns).alias("doc"), found(F.col("text").cast("string")).alias("f"))
     return written(rows.select("doc", "f.pattern", "f.at", "f.x"), "quality-features")
 
 
@@ -202,8 +202,7 @@ def good_documents(docs: DataFrame) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = featured(docs.select("doc_id", "text")).withColumn("doc", F.struct("doc.doc_id"))
+    rows = featured(spark.read.parquet(f"{sf_dir}/documents.parquet"), ("doc_id",))
     return scored(rows, QualityModel(rows)).select("doc.doc_id", "score", (F.col("score") >= KEEP).alias("keep"))
 
 
