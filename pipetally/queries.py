@@ -478,11 +478,15 @@ def selection_semi(spark, d):
     return x.applications(spark, d).join(chosen, "id", "left_semi").select("id", "status")
 
 
-@query("select missing from (select unnest(['company name', 'position title', 'application date', 'status']) missing) where missing not in ('status', 'notes', 'company name')")
+@query(f"""with {A}, h as (select user_id, case when user_id % 2 = 0 then ['notes'] else ['company name', 'notes'] end || case when user_id % 3 = 0 then [] else ['position title'] end || ['status'] have from (select distinct user_id from apps))
+select user_id, 'Missing required columns: ' || array_to_string(list_filter(['company name', 'position title', 'application date', 'status'], lambda c: not list_contains(have, c)), ', ') message from h""")
 def missing_columns(spark, d):
-    have = F.array(*[F.lit(v) for v in ("status", "notes", "company name")])
-    need = F.array(*[F.lit(v) for v in csvio.NEEDED])
-    return spark.range(1).select(F.explode(F.array_except(need, have)).alias("missing"))
+    """The header that a tenant's file begins with, against the columns that an import needs."""
+    e = _export(spark, d)
+    titles = [F.when(F.col("user_id") % 2 != 0, F.lit("Company Name")), F.lit(" notes"), F.when(F.col("user_id") % 3 != 0, F.lit('"POSITION title"')), F.lit("Status")]
+    head = e.select("user_id").distinct().select(F.concat_ws(",", *titles).alias("value"), F.lit(-1).cast("long").alias("at"), "user_id")
+    lines = head.unionByName(e.select(csvio.csv_line(e).alias("value"), F.col("id").alias("at"), "user_id"))
+    return csvio.parse_applications(lines, order=F.col("at"), file="user_id")[1].select(F.col("file").alias("user_id"), "message")
 
 
 # ---- changes and rules ------------------------------------------------------------------------------------------------
@@ -627,6 +631,25 @@ def csv_import(spark, d):
     return csvio.import_applications(apps, good.withColumn("tenant", F.col("file")), F.col("tenant"))
 
 
+_NOTES = "'line one of ' || position_title || chr(10) || chr(10) || '  \"' || status || '\", ' || chr(10) || id"
+
+
+@query(f"""with {A} select user_id, row_number() over (partition by user_id order by id) + 1 n, c_name || ' "x", y' company_name, cast(application_date as varchar) application_date, status,
+case when id % 3 = 0 then {_NOTES} else 'plain' end notes from apps join customer on user_id = c_custkey""")
+def csv_multi_line(spark, d):
+    """Every tenant imports its own export, whose notes hold newlines, from blocks of physical lines that cut records anywhere."""
+    note = F.concat(F.lit("line one of "), F.col("position_title"), F.lit('\n\n  "'), F.col("status"), F.lit('", \n'), F.col("id").cast("string"))
+    e = _export(spark, d).withColumn("notes", F.when(F.col("id") % 3 == 0, note).otherwise("plain"))
+    head = e.select("user_id").distinct().select(F.lit(csvio.csv_header()).alias("record"), F.lit(-1).cast("long").alias("id"), "user_id")
+    records = head.unionByName(e.select(csvio.csv_line(e).alias("record"), "id", "user_id"))
+    lines = records.select("user_id", "id", F.posexplode(F.split("record", "\n")).alias("k", "value"))
+    # 64 lines of the order of ids are a block, whatever record they belong to
+    at = F.col("id") * 4 + F.col("k")
+    lines = lines.withColumns({"at": at, "block": F.floor(at / 64)})
+    good, _ = csvio.parse_applications(csvio.quoted_records(lines, F.col("at"), "user_id", "block"), order=F.col("at"), file="user_id", block=["block"])
+    return good.select(F.col("file").alias("user_id"), F.col("n").cast("long").alias("n"), "company_name", "application_date", "status", "notes")
+
+
 @query(f"with {D} select id, 'data:text/plain;base64,' || base64(encode(text)) url from docs")
 def document_data_url(spark, d):
     return x.documents(spark, d).select("id", blobs.data_url(F.col("text").cast("binary"), F.lit("text/plain")).alias("url"))

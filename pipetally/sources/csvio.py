@@ -20,6 +20,8 @@ HEADER = {
     "Salary Range": "salary_range", "Application Method": "application_method", "Job Description": "job_description", "Notes": "notes",
 }
 NEEDED = ["company name", "position title", "application date", "status"]
+#: A quoted record may be so many bytes long.
+LONGEST_RECORD = 16 << 20
 
 
 def fields(line: Column) -> Column:
@@ -29,22 +31,59 @@ def fields(line: Column) -> Column:
     return F.transform(found, lambda x: trimmed(F.replace(F.regexp_replace(x, r'"((?:[^"]|"")*+)(?:"|$)', "$1"), F.lit('""'), F.lit('"'))))
 
 
-def numbered_lines(lines: DataFrame, order: Column | None = None, file: str | None = None, block: Sequence[str] = ()) -> DataFrame:
-    """(file, line, n) of the lines that are not blank, from 1 in every file.
+def quoted_records(lines: DataFrame, order: Column, file: str, block: str, longest: int = LONGEST_RECORD) -> DataFrame:
+    """(value, file, block, at, fault): the records of files in which a quoted field may hold newlines.
+
+    ``lines`` are physical lines; ``block`` parts a file into runs of lines, in order (the splits of a read), and
+    ``order`` orders the lines of a block.  Whether a line begins inside quotes follows from the number of
+    quotes before it.  So blocks count their lines with an odd number of quotes; the sums over the blocks
+    before (one row a block) carry the state over; and the odd lines, numbered through the file, open and
+    close its records in turn.  No task reads a whole file.  Lines that are a record by themselves stay
+    where they are, and only the lines of the others meet, at the place (``block``, ``at``) of their first.
+
+    A quote that is never closed makes the rest of its file one record.  A record of more than ``longest``
+    bytes is not put together: it has its first line as ``value`` and a ``fault``, and all others have null.
+    """
+    w = W.partitionBy(file, block).orderBy("__order")
+    text = F.coalesce("value", F.lit(""))
+    odd = (F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))) % 2
+    rows = lines.select(text.alias("value"), file, block, order.alias("__order"), odd.cast("long").alias("__odd"))
+    before = F.coalesce(F.sum("__c").over(W.partitionBy(file).orderBy(block).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = rows.groupBy(file, block).agg(F.sum("__odd").alias("__c")).select(file, block, before.alias("__before"))
+    rows = rows.withColumns({"at": F.row_number().over(w), "__upto": F.sum("__odd").over(w)}).join(counts, [file, block])
+    upto = F.col("__upto") + F.col("__before")
+    rows = rows.select("value", file, block, "at", upto.alias("__upto"), (upto % 2 == 1).alias("__open"), ((upto - F.col("__odd")) % 2 == 1).alias("__inside"))
+    fault = F.lit(None).cast("string")
+    single = rows.filter("not __open and not __inside").select("value", file, block, "at", fault.alias("fault"))
+    # an odd line opens a record, the next one closes it
+    parts = rows.filter("__open or __inside").withColumn("__record", F.call_function("div", F.col("__upto") + 1, F.lit(2)))
+    place = F.struct(F.col(block).alias("block"), "at", "value")
+    sizes = parts.groupBy(file, "__record").agg(F.sum(F.octet_length("value") + 1).alias("__bytes"), F.min(place).alias("__first"))
+    short = parts.join(sizes.filter(F.col("__bytes") <= longest).select(file, "__record"), [file, "__record"])
+    whole = short.groupBy(file, "__record").agg(F.sort_array(F.collect_list(place)).alias("__lines"))
+    first = lambda c: c["block"].alias(block)
+    whole = whole.select(F.array_join(F.transform("__lines", lambda z: z["value"]), "\n").alias("value"), file, first(F.col("__lines")[0]), F.col("__lines")[0]["at"].alias("at"), fault.alias("fault"))
+    long = sizes.filter(F.col("__bytes") > longest).select(
+        "__first.value", file, first(F.col("__first")), "__first.at", F.concat(F.lit("record of "), F.col("__bytes").cast("string"), F.lit(f" bytes, more than {longest}: is a quote left open?")).alias("fault"))
+    return single.unionByName(whole).unionByName(long)
+
+
+def numbered_lines(lines: DataFrame, order: Column | None = None, file: str | None = None, block: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """(file, line, n) of the lines that are not blank, from 1 in every file, and the columns ``keep``.
 
     ``file`` names the column that tells files apart (none: all are one file).  Lines follow ``order``, or
     the order in which a task reads them.  ``block`` columns, in order, part a file further (as ``read_csv_rows``
     does by split), so that no task numbers a whole file: each block starts after the lines of those before it.
     """
     rows = lines.filter(trimmed(F.col("value")) != "").select(
-        (F.col(file) if file else F.lit("")).alias("file"), F.col("value").alias("line"), (F.monotonically_increasing_id() if order is None else order).alias("at"), *block)
+        (F.col(file) if file else F.lit("")).alias("file"), F.col("value").alias("line"), (F.monotonically_increasing_id() if order is None else order).alias("at"), *block, *keep)
     n = F.row_number().over(W.partitionBy("file", *block).orderBy("at"))
     if not block:
-        return rows.withColumn("n", n).select("file", "line", "n")
+        return rows.withColumn("n", n).select("file", "line", "n", *keep)
     counts = rows.groupBy("file", *block).agg(F.count("*").alias("c"))  # one row a block
     before = F.coalesce(F.sum("c").over(W.partitionBy("file").orderBy(*block).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("file", *block, before.alias("before"))
-    return rows.withColumn("n", n).join(starts, ["file", *block]).select("file", "line", (F.col("n") + F.col("before")).cast("int").alias("n"))
+    return rows.withColumn("n", n).join(starts, ["file", *block]).select("file", "line", (F.col("n") + F.col("before")).cast("int").alias("n"), *keep)
 
 
 def parse_applications(lines: DataFrame, rules: list[Rule] | None = None, order: Column | None = None, file: str | None = None, block: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -52,20 +91,23 @@ def parse_applications(lines: DataFrame, rules: list[Rule] | None = None, order:
 
     A missing header or required column is an error of the file.  Unknown columns are ignored, the last of
     repeated ones counts, short rows are padded with empty texts, and rows are named by their place among
-    the lines that are not blank.
+    the lines that are not blank.  Lines with a ``fault`` (of ``quoted_records``) are errors of that row.
     """
-    rows = numbered_lines(lines, order, file, block).withColumn("f", fields(F.col("line")))
+    faults = ["fault"] if "fault" in lines.columns else []
+    rows = numbered_lines(lines, order, file, block, faults).withColumn("f", fields(F.col("line")))
     head = rows.filter("n = 1").select("file", F.transform("f", lambda h: F.lower(trimmed(h))).alias("h"))
     have = F.array(*[F.lit(x) for x in NEEDED])
-    data = rows.filter("n > 1").join(head, "file").select("file", "n", "f", "h")
+    data = rows.filter("n > 1").join(head, "file").select("file", "n", "f", "h", *faults)
 
     def named(title: str) -> Column:
         at = F.size("h") - F.array_position(F.reverse("h"), F.lit(title.lower())) + 1
         found = F.array_contains("h", title.lower())
         return F.when(found, F.coalesce(F.get("f", (at - 1).cast("int")), F.lit("")))
 
-    parsed = data.select("file", "n", *[named(t).alias(c) for t, c in HEADER.items()])
+    parsed = data.select("file", "n", *[named(t).alias(c) for t, c in HEADER.items()], *faults)
     checked = validate(parsed, application_rules() if rules is None else rules)
+    if faults:
+        checked = checked.withColumn("errors", F.when(F.col("fault").isNull(), F.col("errors")).otherwise(F.array("fault"))).drop("fault")
     missing = head.select("file", F.array_except(have, F.col("h")).alias("m")).filter(F.size("m") > 0)
     missing = missing.select("file", F.lit(0).alias("n"), F.concat(F.lit("Missing required columns: "), F.array_join("m", ", ")).alias("message"))
     filled = F.count(F.when(trimmed(F.col("value")) != "", 1)).alias("c")
@@ -78,10 +120,18 @@ def parse_applications(lines: DataFrame, rules: list[Rule] | None = None, order:
     return good, errors
 
 
-def read_csv_rows(spark: SparkSession, path: str, rules: list[Rule] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors) of the file, or of each file, at ``path``; large files are numbered by split."""
+def read_csv_rows(spark: SparkSession, path: str, rules: list[Rule] | None = None, multi_line: bool = False, longest: int = LONGEST_RECORD) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) of the file, or of each file, at ``path``; large files are numbered by split.
+
+    A newline ends a row, quoted or not, unless ``multi_line``; then quoted ones belong to their field, and a
+    row of more than ``longest`` bytes is an error.
+    """
     lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
-    return parse_applications(lines, rules, file="path", block=["start"])
+    if not multi_line:
+        return parse_applications(lines, rules, file="path", block=["start"])
+    # a task reads the lines of a split in order, so this order is the same in every evaluation
+    records = quoted_records(lines, F.monotonically_increasing_id(), "path", "start", longest)
+    return parse_applications(records, rules, order=F.col("at"), file="path", block=["start"])
 
 
 def import_applications(apps: DataFrame, rows: DataFrame, user_id: Column, as_of: Column | None = None) -> DataFrame:

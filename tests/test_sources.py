@@ -40,6 +40,63 @@ def test_import_numbers_large_files_by_split(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def plain_records(text):
+    """Records of a text, newlines inside quotes kept, and whether the last is left open."""
+    out, at, quoted = [], 0, False
+    for i, c in enumerate(text):
+        if c == '"':
+            quoted = not quoted
+        elif c == "\n" and not quoted:
+            out.append(text[at:i])
+            at = i + 1
+    return [r for r in [*out, text[at:]] if r.strip()]
+
+
+RECORDS = [
+    'Company Name,Position Title,Application Date,Status,Notes', 'A,Dev,2024-01-01,Applied,"one\n\ntwo, ""three""\n"', "", 'B,Dev,2024-01-02,Applied,plain',
+    '"C\nc","D""\n""ev",2024-01-03,Applied,""', '"\n\n', '\n",Dev,2024-01-04,Applied,x', 'E,Dev,2024-01-05,Applied,"\r\n"', 'F,Dev,2024-01-06,Applied,"left ""open\nto the end\n',
+]
+
+
+def test_quoted_newlines_wherever_a_file_is_cut(spark, tmp_path):
+    text = "\n".join(RECORDS)
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.csv").write_bytes(text.encode())
+    (tmp_path / "a" / "y.csv").write_bytes(text.encode()[:200] + b"\n")
+    want = {"x.csv": plain_records(text), "y.csv": plain_records(text[:200] + "\n")}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (1, 2, 3, 5, 17, 64, 100_000):  # 1: a split at every byte
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            lines = spark.read.text(f"file://{tmp_path}/a", lineSep="\n").select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+            got = csvio.quoted_records(lines, F.monotonically_increasing_id(), "path", "start").collect()
+            assert size > 1 or len({r.start for r in got}) > 5
+            for name, records in want.items():
+                mine = sorted((r.start, r.at, r.value) for r in got if r.path.endswith(name) and r.value.strip())
+                # a newline that ends the file belongs to an open record only in the plain version
+                assert [v.rstrip("\n") for _, _, v in mine] == [r.rstrip("\n") for r in records], (size, name)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_import_with_quoted_newlines(spark, tmp_path):
+    rows = [f'C{i},Dev,2024-01-01,Applied,"note {i}\n\n ""q"" {"x" * (i % 50)}"' if i % 3 else f"C{i},Dev,2024-01-01,Applied,none" for i in range(500)]
+    (tmp_path / "good.csv").write_text("\n".join([RECORDS[0], *rows]))
+    (tmp_path / "bad.csv").write_text("\n".join([RECORDS[0], *rows[:9], ',Dev,2024-01-01,Applied,"\n"', *rows]))
+    (tmp_path / "open.csv").write_text("\n".join([RECORDS[0], *rows[:9], 'Z,"Dev,2024-01-01,Applied,x', *rows[::3]]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        good, errors = csvio.read_csv_rows(spark, f"file://{tmp_path}", multi_line=True, longest=200)
+        got = {r.file.rpartition("/")[2]: r.message for r in errors.collect() if r.message.startswith(("Row 11:", "CSV"))}
+        assert got["bad.csv"] == "Row 11: Company name is required" and got["open.csv"].startswith("Row 11: record of ")
+        kept = sorted((r.n, r.company_name, r.notes) for r in good.collect())
+        assert kept == [(i + 2, f"C{i}", f'note {i}\n\n "q" {"x" * (i % 50)}'.strip() if i % 3 else "none") for i in range(500)]
+        assert csvio.read_csv_rows(spark, f"file://{tmp_path}/good.csv")[1].count() > 0  # a newline ends a row, unless asked for
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_request_bodies(spark):
     bodies = spark.createDataFrame([(1, '{"a": 1, "b": null, "zz": 3}'), (2, '{"a": "no number"}'), (3, "nothing"), (4, None), (5, "{}"), (6, "[1]")], "id int, body string")
     good, bad = requests.parse_bodies(bodies, "a int, b string")
