@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -35,6 +37,28 @@ def window_counts(df: DataFrame, date_col: str, windows: dict[str, tuple[Column,
     return df.groupBy(key).agg(*[count_if(day.between(lo, hi)).alias(name) for name, (lo, hi) in windows.items()])
 
 
+def every_day(counts: DataFrame, key: str = "user_id") -> DataFrame:
+    """``counts`` (key, day, n) and the days between a key's first and last that have none, with 0: each day brings those up to the next one."""
+    after = F.lead("day").over(W.partitionBy(key).orderBy("day"))
+    rows = counts.withColumn("__to", F.coalesce(F.date_sub(after, 1), F.col("day")))
+    rows = rows.select(key, F.col("day").alias("__from"), "n", F.explode(F.sequence("day", "__to")).alias("day"))
+    return rows.select(key, "day", F.when(F.col("day") == F.col("__from"), F.col("n")).otherwise(0).cast("bigint").alias("n"))
+
+
+def trailing_frames(counts: DataFrame, lengths: Sequence[int] = (7, 14, 30), key: str = "user_id") -> DataFrame:
+    """(key, day, n) and, for each length, ``last_k``, ``prior_k`` and ``change_k`` of every day from a key's first to its last.
+
+    ``last_k`` counts the k days up to a day, ``prior_k`` the k days before those, ``change_k`` is the
+    change in percent.  Frames are ranges of days, not of rows, in one window that all lengths share.
+    """
+    at = F.datediff("day", F.lit("1970-01-01").cast("date"))
+    w = W.partitionBy(key).orderBy(at)
+    total = lambda lo, hi: F.coalesce(F.sum("n").over(w.rangeBetween(lo, hi)), F.lit(0)).cast("bigint")
+    out = every_day(counts, key)
+    out = out.select(key, "day", "n", *[c for k in lengths for c in (total(-k + 1, 0).alias(f"last_{k}"), total(-2 * k + 1, -k).alias(f"prior_{k}"))])
+    return out.withColumns({f"change_{k}": pct_change(F.col(f"last_{k}"), F.col(f"prior_{k}")) for k in lengths})
+
+
 def spine(keys: DataFrame, as_of: Column, days: int) -> DataFrame:
     """Every key with each of the ``days`` days up to ``as_of``."""
     return keys.withColumn("day", F.explode(F.sequence(F.date_sub(as_of, days - 1), as_of)))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +50,54 @@ def delete_rows(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key).distinct(), key, "left_anti").select(*df.columns)
 
 
+class ForeignKey(NamedTuple):
+    """``child``.``column`` refers to ``parent``.``key``; the child's row goes with the parent's."""
+
+    child: str
+    column: str
+    parent: str
+    key: str = "id"
+
+
+def parents_first(keys: Sequence[ForeignKey]) -> list[str]:
+    """The tables of a foreign-key graph, each after all that it refers to; a cycle is an error."""
+    left = {t: {k.parent for k in keys if k.child == t} for k in keys for t in (k.child, k.parent)}
+    out: list[str] = []
+    while left:
+        ready = [t for t, needs in left.items() if needs <= set(out)]
+        if not ready:
+            raise ValueError(f"foreign keys in a cycle: {', '.join(sorted(left))}")
+        out += ready
+        left = {t: needs for t, needs in left.items() if t not in ready}
+    return out
+
+
+def cascade(tables: dict[str, DataFrame], keys: Sequence[ForeignKey], gone: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """``tables`` without the rows that ``gone`` names (by key, for each table) and all that refer to them, at any depth.
+
+    Level by level, parents first: a row goes if it is named, or if one of its references goes; a null
+    reference stays, and so does one to a row that is not there.  Only keys travel, and of a table that no
+    other refers to, none.  Keys that are not in their table are no error.
+    """
+    out, dead = dict(tables), {}  # dead: for each (table, key) that others refer to, the keys that go
+    for t in [*[t for t in parents_first(keys) if t in tables], *[t for t in gone if not any(t in (k.child, k.parent) for k in keys)]]:
+        df, named = tables[t], gone.get(t)
+        refers = [k for k in keys if k.child == t and (k.parent, k.key) in dead]
+        lost = [(k.column, dead[k.parent, k.key]) for k in refers]
+        if named is not None:
+            lost.append((named.columns[0], named.select(named.columns[0]).distinct()))
+        if not lost:
+            continue
+        left = df
+        for column, goes in lost:
+            left = left.join(goes.toDF(column), column, "left_anti")
+        out[t] = left.select(*df.columns)
+        for key in sorted({k.key for k in keys if k.parent == t}):
+            went = [df.join(goes.toDF(column), column, "left_semi").select(key) for column, goes in lost]
+            dead[t, key] = reduce(DataFrame.unionByName, went).filter(F.col(key).isNotNull()).distinct()
+    return out
+
+
 def delete_cascade(parents: DataFrame, children: Sequence[DataFrame], gone: DataFrame, key: str, foreign: str) -> tuple[DataFrame, list[DataFrame]]:
     """Parents without ``gone`` and children without those of a parent that went; a null reference stays."""
     ids = gone.select(F.col(key).alias(foreign))
@@ -56,7 +106,8 @@ def delete_cascade(parents: DataFrame, children: Sequence[DataFrame], gone: Data
 
 def insert_if_absent(df: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``df`` and those new rows whose key it does not hold; of new rows with one key the first by value."""
-    once = new.dropDuplicates([key])
+    first = F.min(F.struct(key, *[c for c in new.columns if c != key])).alias("__row")
+    once = new.groupBy(F.col(key).alias("__key")).agg(first).select("__row.*")
     return df.unionByName(once.join(df.select(key), key, "left_anti").select(*new.columns), allowMissingColumns=True)
 
 

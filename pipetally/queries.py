@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -489,6 +490,20 @@ def missing_columns(spark, d):
     return csvio.parse_applications(lines, order=F.col("at"), file="user_id")[1].select(F.col("file").alias("user_id"), "message")
 
 
+_FRAMES = ", ".join(f"cast(coalesce(sum(n) over (partition by user_id order by day range between interval {k - 1} days preceding and current row), 0) as bigint) last_{k}, "
+                    f"cast(coalesce(sum(n) over (partition by user_id order by day range between interval {2 * k - 1} days preceding and interval {k} days preceding), 0) as bigint) prior_{k}" for k in (7, 14, 30))
+
+
+@query(f"""with {T}, c as (select user_id, cast(created_at as date) as "day", count(*) n from tasks group by 1, 2),
+s as (select user_id, cast(unnest(generate_series(min(day), max(day), interval 1 day)) as date) as "day" from c group by 1),
+f as (select s.user_id, s.day, coalesce(n, 0) n from s left join c on c.user_id = s.user_id and c.day = s.day),
+w as (select user_id, day, n, {_FRAMES} from f)
+select *, {pct("last_7", "prior_7")} change_7, {pct("last_14", "prior_14")} change_14, {pct("last_30", "prior_30")} change_30 from w""")
+def trailing_frames(spark, d):
+    """Trailing 7, 14 and 30 days of tasks against those before, for every day of every tenant."""
+    return agg.trailing_frames(agg.daily_counts(x.tasks(spark, d), "created_at"))
+
+
 # ---- changes and rules ------------------------------------------------------------------------------------------------
 
 
@@ -507,6 +522,22 @@ def cascade_anti(spark, d):
     return changes.delete_cascade(apps, [x.rounds(spark, d)], apps.filter("status = 'Withdrawn'"), "id", "application_id")[1][0].select("application_id", "round_number", "part", "supplier")
 
 
+@query(f"""with {P}, {A}, {R}, {T}, {C}, {D}, gone as (select id from profiles where id % 5 = 0), a as (select id from apps where user_id in (select id from gone)),
+t as (select id, user_id, case when id % 3 <> 0 then id end application_id from tasks)
+select 'profiles' tbl, cast(id as varchar) k from profiles where id not in (select id from gone)
+union all select 'applications', cast(id as varchar) from apps where id not in (select id from a)
+union all select 'interview_rounds', application_id || '-' || round_number || '-' || part || '-' || supplier from rounds where application_id not in (select id from a)
+union all select 'contacts', cast(id as varchar) from contacts where application_id not in (select id from a)
+union all select 'tasks', cast(id as varchar) from t where user_id not in (select id from gone) and coalesce(application_id not in (select id from a), true)
+union all select 'documents', cast(id as varchar) from docs where application_id not in (select id from a)""")
+def cascade_profiles(spark, d):
+    """Every fifth profile is deleted: its applications go, and with these or with it all rounds, contacts, tasks and documents."""
+    tables = x.domain(spark, d)
+    left = changes.cascade(tables, x.FOREIGN_KEYS, {"profiles": tables["profiles"].filter("id % 5 = 0").select("id")})
+    shown = [df.select(F.lit(t).alias("tbl"), (F.concat_ws("-", "application_id", "round_number", "part", "supplier") if t == "interview_rounds" else F.col("id").cast("string")).alias("k")) for t, df in left.items()]
+    return reduce(DataFrame.unionByName, shown)
+
+
 @query(f"with {P} select id, full_name from profiles where id % 2 = 0 union all select id, 'New ' || full_name from profiles where id % 2 <> 0 and id % 3 = 0")
 def insert_if_absent(spark, d):
     p = x.profiles(spark, d).select("id", "full_name")

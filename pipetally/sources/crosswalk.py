@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pipetally.operators.changes import ForeignKey
+
 # The domains of the status columns.
 APPLICATION_STATUS = ["Applied", "Interview Scheduled", "Interview Completed", "Offer Received", "Rejected", "Withdrawn"]
 TASK_STATUS = {"click": "Pending", "signup": "Pending", "view": "In Progress", "purchase": "Completed", "error": "Cancelled"}
@@ -101,6 +103,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Which rows go with which.
+FOREIGN_KEYS = [
+    ForeignKey("applications", "user_id", "profiles"), ForeignKey("contacts", "user_id", "profiles"), ForeignKey("contacts", "application_id", "applications"),
+    ForeignKey("interview_rounds", "user_id", "profiles"), ForeignKey("interview_rounds", "application_id", "applications"),
+    ForeignKey("tasks", "user_id", "profiles"), ForeignKey("tasks", "application_id", "applications"),
+    ForeignKey("documents", "user_id", "profiles"), ForeignKey("documents", "application_id", "applications"),
+]
+
+
+def domain(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All tables by name; children without a tenant of their own have that of their application, or none."""
+    owner = applications(spark, sf_dir).select(F.col("id").alias("application_id"), "user_id")
+    owned = lambda df: df.join(owner, "application_id", "left")
+    return {
+        "profiles": profiles(spark, sf_dir), "applications": applications(spark, sf_dir), "interview_rounds": owned(rounds(spark, sf_dir)), "contacts": owned(contacts(spark, sf_dir)),
+        "tasks": tasks(spark, sf_dir).withColumn("application_id", F.when(F.pmod("id", F.lit(3)) != 0, F.col("id"))), "documents": owned(documents(spark, sf_dir)),
+    }
+
+
 # The same views for the oracle.
 APPS_SQL = """apps as (select o_orderkey id, o_custkey user_id, cast(o_orderdate as date) application_date, o_orderpriority position_title,
   case when o_orderstatus = 'O' then 'Applied' when o_orderstatus = 'P' and o_orderpriority[1] in ('1', '2') then 'Interview Scheduled'
