@@ -104,9 +104,15 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, threshold
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without the documents that contain an item; rows without an id stay."""
-    bad = written(contained_items(docs, items, words, threshold).select("doc_id").distinct(), "contaminated")
-    return docs.join(_maybe_broadcast(bad), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose own text contains an item, whatever their ids are.
+
+    Rows without an id are judged too, and rows that share an id each by themselves; null and empty
+    texts contain nothing; other columns pass through, whatever their names.
+    """
+    same = F.unhex(F.md5(F.col("text").cast("string").cast("binary")))  # equal texts are judged once
+    bad = written(contained_items(docs.select(same.alias("doc_id"), F.col("text").cast("string").alias("text")), items, words, threshold).select(F.col("doc_id").alias("same")).distinct(), "contaminated")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), same.alias("same"))
+    return rows.join(_maybe_broadcast(bad), "same", "left_anti").select("row.*")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,10 +40,22 @@ def test_matches_brute_force(spark):
     b = spark.createDataFrame([(i, t, 3) for i, t in items], "item_id long, text string, doc_id int")
     got = {(r.doc_id, r.item_id): r.shared for r in contained_items(d, b).collect()}
     assert got == plain(docs, items)
-    bad = {i for i, _ in got}
+    # the stage judges each row by its own text
+    bad = {k for k, _ in plain([(k, t) for k, (_, t) in enumerate(docs)], items)}
     left = decontaminated(d, b)
     assert left.columns == d.columns
-    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(i) for i, _ in docs if i not in bad)
+    assert sorted(map(str, left.select("doc_id", "text").collect())) == sorted(f"Row(doc_id={i!r}, text={t!r})" for k, (i, t) in enumerate(docs) if k not in bad)
+    assert any(docs[k][0] is None for k in bad)
+
+
+def test_rows_not_ids_are_removed(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    half = item.split()
+    docs = [(1, " ".join(half[:7])), (1, " ".join(half[5:])), (None, item), (None, "clean"), (2, item), (2, "clean too"), (3, None), (4, "")]
+    df = spark.createDataFrame([(*r, "a", "b", "c") for r in docs], "doc_id long, text string, same string, row string, `item.id` string")
+    left = decontaminated(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == df.columns
+    assert sorted(map(str, left.select("doc_id", "text").collect())) == sorted(f"Row(doc_id={i!r}, text={t!r})" for i, t in docs if t != item)
 
 
 def test_empty_tables(spark):
