@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -45,6 +45,20 @@ def set_where(df: DataFrame, condition: Column, values: dict[str, Column]) -> Da
     return df.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})
 
 
+def counted_write(df: DataFrame, ok: Column, write: Callable[[DataFrame], None], problem: Column | None = None) -> DataFrame:
+    """Write the rows of ``df`` that are ``ok`` (null: not), and return (written, failed) of that write, a row.
+
+    The counts are observed on the rows as they pass on to the writer, so nothing is read again.  With
+    ``problem``, a text for each failed row, the row also has ``first_problem``, the least of them.
+    """
+    seen, good = Observation(), F.coalesce(ok, F.lit(False))
+    told = F.min(F.when(~good, F.lit(None).cast("string") if problem is None else problem)).alias("first_problem")
+    write(df.observe(seen, F.count_if(good).alias("written"), F.count_if(~good).alias("failed"), told).filter(good))
+    got = seen.get
+    kinds = "written long, failed long" + (", first_problem string" if problem is not None else "")
+    return df.sparkSession.createDataFrame([(got["written"], got["failed"], *([got["first_problem"]] if problem is not None else []))], kinds)
+
+
 def delete_rows(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """``df`` without the keys; a key that is not there is no error."""
     return df.join(keys.select(key).distinct(), key, "left_anti").select(*df.columns)
@@ -126,6 +140,58 @@ def column_or(df: DataFrame, column: str, default: object) -> Column:
     return F.coalesce(F.col(column), F.lit(default)) if column in df.columns else F.lit(default)
 
 
+# A profile belongs to the user of its id, every other row to that of its ``user_id``; each command has a policy of its own.
+OWNERS = {"profiles": "id", "applications": "user_id", "contacts": "user_id", "interview_rounds": "user_id", "tasks": "user_id", "documents": "user_id"}
+COMMANDS = ("select", "insert", "update", "delete")
+#: (table, command): the column that must be the user's.
+POLICIES = {(t, c): owner for t, owner in OWNERS.items() for c in COMMANDS}
+FOREIGN = "new row violates row-level security policy for table "
+
+
+def _policy(table: str, command: str, policies: dict[tuple[str, str], str]) -> str:
+    if (table, command) not in policies:
+        raise ValueError(f"no policy for {command} on {table}: nobody may")
+    return policies[table, command]
+
+
+def visible(df: DataFrame, table: str, user: Column, command: str = "select", policies: dict[tuple[str, str], str] = POLICIES) -> DataFrame:
+    """The rows of ``table`` on which ``user`` (a literal, or a column for requests of many users) may use a command."""
+    return df.filter(F.coalesce(F.col(_policy(table, command, policies)) == user, F.lit(False)))
+
+
+def _split_own(rows: DataFrame, owner: Column, user: Column, table: str) -> tuple[DataFrame, DataFrame]:
+    own = F.coalesce(owner == user, F.lit(False))
+    return rows.filter(own), rows.filter(~own).withColumn("error", F.lit(FOREIGN + table))
+
+
+def checked_insert(new: DataFrame, table: str, user: Column, policies: dict[tuple[str, str], str] = POLICIES) -> tuple[DataFrame, DataFrame]:
+    """(rows that ``user`` may insert, the others with ``error``)."""
+    return _split_own(new, F.col(_policy(table, "insert", policies)), user, table)
+
+
+def checked_update(df: DataFrame, changes: DataFrame, table: str, key: Sequence[str], user: str, policies: dict[tuple[str, str], str] = POLICIES) -> tuple[DataFrame, DataFrame]:
+    """(``df`` after the ``changes`` that may be made, refused changes with ``error``).
+
+    ``changes`` have the key, new values (null: unchanged) and the column ``user``, who asks.  A row that is
+    not the user's is not there for them: such a change does nothing and is no error.  A change that would
+    give an own row away is refused.
+    """
+    owner = _policy(table, "update", policies)
+    held = df.select(*key, F.col(owner).alias("__owner"))
+    near = changes.join(held, list(key)).filter(F.col(user) == F.col("__owner"))
+    after = F.coalesce(F.col(owner), F.col("__owner")) if owner in changes.columns and owner not in key else F.col("__owner")
+    good, bad = _split_own(near, after, F.col(user), table)
+    return apply_updates(df, good.drop("__owner", user), key), bad.drop("__owner")
+
+
+def checked_delete(df: DataFrame, asked: DataFrame, table: str, key: Sequence[str], user: str, policies: dict[tuple[str, str], str] = POLICIES) -> DataFrame:
+    """``df`` without the rows that ``asked`` (the key and ``user``) names and that are the user's; others stay, without an error."""
+    owner = _policy(table, "delete", policies)
+    who = asked.select(*key, F.col(user).alias("__user")).distinct()
+    gone = df.select(*key, F.col(owner).alias("__owner")).join(who, list(key)).filter("__owner = __user").select(*key).distinct()
+    return df.join(gone, list(key), "left_anti").select(*df.columns)
+
+
 def tenant_view(df: DataFrame, user_id: object, key: str = "user_id") -> DataFrame:
     """What one tenant may see."""
     return df.filter(F.col(key) == F.lit(user_id))

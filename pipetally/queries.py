@@ -11,11 +11,12 @@ from pyspark.sql import Window as W
 
 from pipetally.functions import dates, numbers, texts
 from pipetally.operators import aggregates as agg
-from pipetally.operators import changes, rows, validation
+from pipetally.operators import changes, rows, stored, validation
 from pipetally.plans import kpi, reminders
 from pipetally.plans import timeline as tl
-from pipetally.sources import blobs, csvio, requests
+from pipetally.sources import blobs, csvio, folders, requests
 from pipetally.sources import crosswalk as x
+from pipetally.streaming import replay, timers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,6 +96,17 @@ def page_2(spark, d):
     return rows.page(apps, 2, 10, rows.newest(apps, "application_date", "id"))[0]
 
 
+@query(f"with {A} select * from apps order by application_date desc, id limit 20 offset 11980")
+def page_deep(spark, d):
+    """Page 600 of all applications, found by counts of ranges."""
+    return rows.deep_page(x.applications(spark, d), 600, 20, [("application_date", True), ("id", False)], most=2_000)[0]
+
+
+@query(f"with {A} select cast(600 as int) page, cast(20 as bigint) \"limit\", count(*) total, cast(ceil(count(*) / 20) as bigint) total_pages from apps")
+def page_deep_envelope(spark, d):
+    return rows.deep_page(x.applications(spark, d), 600, 20, [("application_date", True), ("id", False)], most=2_000)[1]
+
+
 @query(f"with {A} select count(*) total, count(*) \"limit\", cast(1 as int) page, cast(1 as bigint) total_pages from apps where user_id = 7")
 def page_all(spark, d):
     apps = x.applications(spark, d).filter("user_id = 7")
@@ -550,6 +562,69 @@ def bulk_update(spark, d):
     return changes.set_where(x.applications(spark, d), F.pmod("id", F.lit(5)) == 0, {"status": F.lit("Withdrawn")}).select("id", "status")
 
 
+@query(f"""with {T} select count(*) filter (where status = 'Pending' and due_date is not null) written, count(*) filter (where not (status = 'Pending' and due_date is not null)) failed,
+min(case when status <> 'Pending' then 'task ' || id || ' is ' || status when due_date is null then 'task ' || id || ' has no date' end) first_problem from tasks""")
+def bulk_update_counted(spark, d):
+    """All tasks are completed at once; those that are not pending or have no date fail, and are counted as the others are written."""
+    t = x.tasks(spark, d).select("id", "status", "due_date")
+    pending = F.col("status") == "Pending"
+    problem = F.concat(F.lit("task "), F.col("id").cast("string"), F.when(pending, " has no date").otherwise(F.concat(F.lit(" is "), F.col("status"))))
+    path = folders.fresh_folder(spark, "completed")
+    return changes.counted_write(t, pending & F.col("due_date").isNotNull(), lambda good: good.withColumn("status", F.lit("Completed")).write.parquet(path), problem)
+
+
+@query(f"""with {A}, n as (select -id - 1 id, user_id, case when id % 7 = 0 then user_id + 1 when id % 11 = 0 then null else user_id end asker from apps)
+select id, user_id, case when asker = user_id then null else 'new row violates row-level security policy for table applications' end error from n""")
+def policy_insert(spark, d):
+    """Every tenant copies its applications; some are asked for by another tenant, or by nobody."""
+    asker = F.when(F.col("id") % 7 == 0, F.col("user_id") + 1).when(F.col("id") % 11 != 0, F.col("user_id"))
+    new = x.applications(spark, d).select((-F.col("id") - 1).alias("id"), "user_id", asker.alias("asker"))
+    good, bad = changes.checked_insert(new, "applications", F.col("asker"))
+    return good.withColumn("error", F.lit(None).cast("string")).unionByName(bad).select("id", "user_id", "error")
+
+
+@query(f"""with {A} select id, user_id, case when id % 4 = 0 and id % 3 <> 0 and id % 8 <> 0 then 'Rejected' else status end status from apps
+union all select id, user_id + 1, 'refused' from apps where id % 8 = 0 and id % 3 <> 0""")
+def policy_update(spark, d):
+    """Every fourth application is rejected; a third of these changes comes from a stranger, and half would give the row away."""
+    apps = x.applications(spark, d).select("id", "user_id", "status")
+    asked = apps.filter("id % 4 = 0").select(
+        "id", F.when(F.col("id") % 8 == 0, F.col("user_id") + 1).alias("user_id"), F.lit("Rejected").alias("status"), (F.col("user_id") + F.when(F.col("id") % 3 == 0, 1).otherwise(0)).alias("asker"))
+    after, refused = changes.checked_update(apps, asked, "applications", ["id"], "asker")
+    return after.unionByName(refused.select("id", "user_id", F.lit("refused").alias("status")))
+
+
+@query(f"with {A} select id, user_id from apps where not (id % 4 = 0 and id % 3 <> 0)")
+def policy_delete(spark, d):
+    apps = x.applications(spark, d).select("id", "user_id")
+    asked = apps.filter("id % 4 = 0").select("id", (F.col("user_id") + F.when(F.col("id") % 3 == 0, 1).otherwise(0)).alias("asker"))
+    return changes.checked_delete(apps, asked, "applications", ["id"], "asker")
+
+
+@query(f"with {A} select id, user_id, case when id % 100 = 0 then 'Withdrawn' else status end status from apps where id % 100 <> 50")
+def update_in_place(spark, d):
+    """A stored table of which only the folders of touched tenants are rewritten: some rows change, some go."""
+    path = folders.fresh_folder(spark, "applications")
+    apps = x.applications(spark, d).select("id", "user_id", "status")
+    stored.write_by_tenant(apps, path)
+
+    def change(mine, asked):
+        return changes.delete_rows(changes.apply_updates(mine, asked.filter("id % 100 = 0").select("id", "status"), ["id"]), asked.filter("id % 100 = 50"), "id")
+
+    stored.update_by_tenant(spark, path, apps.filter("id % 50 = 0").withColumn("status", F.lit("Withdrawn")), change)
+    return stored.read_by_tenant(spark, path)
+
+
+@query(f"with {A} select id, cast(user_id % 3 as int) batch from apps")
+def publish_batches(spark, d):
+    """Three batches, each added whole and one of them asked for twice."""
+    path = folders.fresh_folder(spark, "batches")
+    apps = x.applications(spark, d).select("id", "user_id")
+    for b in (0, 1, 2, 1):
+        stored.publish_batch(apps.filter(F.col("user_id") % 3 == b).select("id"), path, str(b))
+    return spark.read.parquet(path)
+
+
 @query(f"with {A} select id, case when id % 4 = 0 then 'Rejected' else status end status, case when id % 4 = 0 then timestamp '{NOW}' else timestamp '2001-01-01' end updated_at from apps")
 def apply_updates(spark, d):
     apps = x.applications(spark, d).select("id", "status").withColumn("updated_at", F.expr("timestamp_ntz'2001-01-01 00:00:00'"))
@@ -610,6 +685,47 @@ def validate_partial(spark, d):
     return validation.split_valid(t, validation.partial(validation.task_rules_by_column()))[1].select("id", "errors")
 
 
+# ---- streams, replayed to the end ----------------------------------------------------------------------------------
+
+
+def _events(spark, d):
+    return replay.table_stream(spark, f"{d}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+
+
+_CLOSED = "(select max(ts) - interval 1 day from events)"
+
+
+@query(f"""with days as (select user_id, cast(ts as date) "day", count(*) n from events group by 1, 2),
+w as (select user_id, cast(unnest(generate_series(day, day + interval 13 day, interval 1 day)) as date) "day", n from days)
+select user_id, day, cast(sum(n) as bigint) n from w where day + interval 1 day <= {_CLOSED} group by 1, 2""")
+def stream_trailing_14d(spark, d):
+    """Events of the 14 days up to each day that the stream's watermark has passed."""
+    return replay.replayed(timers.trailing_activity(_events(spark, d), 14))
+
+
+@query(f"""with days as (select user_id, cast(ts as date) "day", count(*) n from events group by 1, 2)
+select user_id, day, n, cast(sum(n) over (partition by user_id, date_trunc('month', day) order by day) as bigint) month_to_date from days where day + interval 1 day <= {_CLOSED}""")
+def stream_month_to_date(spark, d):
+    with replay.state_store(spark):
+        return replay.replayed(timers.month_to_date(_events(spark, d)))
+
+
+_ROUND_ID = "((application_id * 10 + round_number) * 100000 + part) * 1000 + supplier"
+
+
+@query(f"""with {R}, h as (select unnest([24, 48]) lead)
+select {_ROUND_ID} round_id, cast(lead as int) "lead", cast(scheduled_date as timestamp) scheduled_date from rounds, h
+where scheduled_date >= timestamp '{NOW}' + to_hours(lead - 1) and scheduled_date < timestamp '{NOW}' + to_hours(lead + 1)""")
+def stream_reminder_timers(spark, d):
+    """All rounds that are ahead, registered at one moment: those whose timers that moment sets off."""
+    s = replay.table_stream(spark, f"{d}/lineitem.parquet").select(
+        F.col("l_orderkey").alias("application_id"), F.col("l_linenumber").alias("round_number"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.col("l_shipdate").cast("timestamp").alias("scheduled_date"))
+    moment = F.lit(NOW).cast("timestamp")
+    ahead = s.filter(F.col("scheduled_date") > moment).select(F.expr(_ROUND_ID).alias("round_id"), moment.alias("seen_at"), "scheduled_date")
+    with replay.state_store(spark):
+        return replay.replayed(timers.reminder_timers(ahead)).withColumn("scheduled_date", F.col("scheduled_date").cast("timestamp_ntz"))
+
+
 # ---- CSV, blobs, JSON -------------------------------------------------------------------------------------------------
 
 
