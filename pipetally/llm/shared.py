@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -72,6 +73,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(conf).delete(path, True)
 
 
+def freed(df: DataFrame) -> DataFrame:
+    """``df``, a written table, after asking for the shuffle files of the plans behind it to go.
+
+    Spark deletes them when the driver's garbage is collected; a row of many small jobs makes little garbage, and
+    would keep the files of all of them.
+    """
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return df
+
+
 def text_hash(column: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col(column))
 
