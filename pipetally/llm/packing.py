@@ -45,6 +45,16 @@ def sentence_ends(tokenizer: Tokenizer) -> np.ndarray:
     return out
 
 
+_ENDS: dict[str, np.ndarray] = {}
+
+
+def _ends_of(path: str, tokenizer: Tokenizer) -> np.ndarray:
+    """One table a worker process."""
+    if path not in _ENDS:
+        _ENDS[path] = sentence_ends(tokenizer)
+    return _ENDS[path]
+
+
 def cut_points(ids: np.ndarray, ends: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Where a document (its end id last) may be cut, in order, its end included, and the penalty of each cut."""
     n = len(ids)
@@ -177,7 +187,7 @@ def packed_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WIN
 
     def work(batches):
         code = encoder(model)
-        task = _Packer(TaskContext.get().partitionId(), sentence_ends(code.tokenizer), window)
+        task = _Packer(TaskContext.get().partitionId(), _ends_of(model, code.tokenizer), window)
         for b in pieces(batches):
             for d, t in zip(b.column(0).to_pylist(), b.column(1)):
                 task.add(d, np.append(code.encode(t.as_py()), np.array([end_id], dtype="<u4")).astype("<u4"))
