@@ -19,6 +19,21 @@ def wall_clock(instant: Column, tz: Column) -> Column:
     return F.convert_timezone(F.lit("UTC"), tz, instant)
 
 
+def zone_offset(instant: Column, tz: Column) -> Column:
+    """Minutes by which the clock of ``tz`` is ahead of UTC at an instant."""
+    return F.call_function("div", F.unix_micros(wall_clock(instant, tz).cast("timestamp")) - F.unix_micros(instant.cast("timestamp")), F.lit(60_000_000))
+
+
+def iso_text(instant: Column) -> Column:
+    """``yyyy-MM-ddTHH:mm:ss.SSSZ`` of a UTC instant."""
+    return F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def iso_instant(text: Column) -> Column:
+    """The UTC instant (timestamp_ntz) of an ISO-8601 text, with or without a zone; null where it is none."""
+    return F.try_to_timestamp(text).cast("timestamp_ntz")
+
+
 def wall_to_utc(wall: Column, tz: Column, strict: bool = False) -> Column:
     """The UTC instant (timestamp_ntz) of a wall-clock time.
 
@@ -34,7 +49,7 @@ def wall_to_utc(wall: Column, tz: Column, strict: bool = False) -> Column:
 def wall_text_to_utc(text: Column, tz: Column, strict: bool = False) -> Column:
     """ISO text of the UTC instant of ``yyyy-MM-ddTHH:mm``; other input is returned unchanged."""
     wall = F.when(text.rlike(r"^\d{1,4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}"), F.try_to_timestamp(F.regexp_extract(text, r"^([^T]+T\d+:\d+)", 1)).cast("timestamp_ntz"))
-    return F.coalesce(F.date_format(wall_to_utc(wall, tz, strict), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), text)
+    return F.coalesce(iso_text(wall_to_utc(wall, tz, strict)), text)
 
 
 def today_in(as_of: Column, tz: Column) -> Column:

@@ -685,6 +685,30 @@ def validate_partial(spark, d):
     return validation.split_valid(t, validation.partial(validation.task_rules_by_column()))[1].select("id", "errors")
 
 
+@query(f"""with {C}, v as (select id, case when id % 6 = 0 then '' else name end n, case when id % 4 = 0 then 'no address' when id % 4 = 1 then 'a b@x.org' when id % 4 = 2 then '' else lower(replace(name, '#', '.')) || '@example.com' end e, id % 5 u from contacts)
+select id, list_filter([case when n = '' then 'Name is required' end, case when e in ('no address', 'a b@x.org') then 'Invalid email' end, case when u in (1, 2) then 'Invalid application ID' end], lambda m: m is not null) errors
+from v where n = '' or e in ('no address', 'a b@x.org') or u in (1, 2)""")
+def validate_contacts(spark, d):
+    """Names, addresses and application ids of all contacts; a text that may be left out may be empty."""
+    k, u = F.pmod("id", F.lit(4)), F.pmod("id", F.lit(5))
+    email = F.when(k == 0, "no address").when(k == 1, "a b@x.org").when(k == 2, "").otherwise(F.concat(F.lower(F.replace("name", F.lit("#"), F.lit("."))), F.lit("@example.com")))
+    key = F.lpad(F.col("id").cast("string"), 12, "0")
+    uuid = F.when(u == 0, None).when(u == 1, key).when(u == 2, F.concat(F.lit("0000000g-0000-4000-8000-"), key)).when(u == 3, "").otherwise(F.concat(F.lit("0000000A-0000-4000-8000-"), key))
+    c = x.contacts(spark, d).select("id", F.when(F.col("id") % 6 == 0, "").otherwise(F.col("name")).alias("name"), email.alias("email"), uuid.alias("application_id"))
+    return validation.split_valid(c, validation.contact_rules())[1].select("id", "errors")
+
+
+@query(f"""with {T}, v as (select id, case when id % 10 = 0 then null else title end t, case when id % 8 = 0 then 'Urgent' when id % 8 = 1 then null else priority end p, case when id % 6 = 0 then 'Done' when id % 6 = 1 then null else status end s, id % 9 = 0 u, due_date from tasks)
+select id, due_date is null no_date, list_filter([case when t is null then 'Title is required' end, case when id % 8 in (0, 1) then 'priority: must be one of Low, Medium, High, Critical' end,
+case when id % 6 in (0, 1) then 'status: must be one of Pending, In Progress, Completed, Cancelled' end, case when u then 'Invalid application ID' end], lambda m: m is not null) errors from v""")
+def validate_tasks(spark, d):
+    """All tasks with their errors; a task without a date is as good as another."""
+    t = x.tasks(spark, d).select(
+        "id", "due_date", F.when(F.col("id") % 10 != 0, F.col("title")).alias("title"), F.when(F.col("id") % 8 == 0, "Urgent").when(F.col("id") % 8 != 1, F.col("priority")).alias("priority"),
+        F.when(F.col("id") % 6 == 0, "Done").when(F.col("id") % 6 != 1, F.col("status")).alias("status"), F.when(F.col("id") % 9 == 0, "x").alias("application_id"))
+    return validation.validate(t, validation.task_rules()).select("id", F.col("due_date").isNull().alias("no_date"), "errors")
+
+
 # ---- streams, replayed to the end ----------------------------------------------------------------------------------
 
 
@@ -869,6 +893,25 @@ def zone_functions(spark, d):
     )
 
 
+@query(f"""with {T}, {P} select t.id, cast(date_diff('minute', created_at, timezone(z, timezone('UTC', created_at))) as bigint) offset_minutes
+from tasks t join (select id pid, coalesce(nullif(time_zone, ''), 'America/New_York') z from profiles) on pid = user_id""")
+def zone_offsets(spark, d):
+    p = x.profiles(spark, d).select(F.col("id").alias("user_id"), dates.zone_or_default(F.col("time_zone")).alias("z"))
+    return x.tasks(spark, d).join(p, "user_id").select("id", dates.zone_offset(F.col("created_at"), F.col("z")).alias("offset_minutes"))
+
+
+@query(f"""with {T}, c as (select id, created_at, id % 7 k from tasks)
+select id, case when k in (0, 1, 2) then null when k = 3 then date_trunc('day', created_at) when k = 4 then date_trunc('second', created_at) when k = 5 then date_trunc('second', created_at) - interval 330 minute else date_trunc('millisecond', created_at) end instant,
+case when k in (0, 1, 2) then null else cast(case when k = 5 then date_trunc('second', created_at) - interval 330 minute else created_at end as date) end "day", strftime(created_at, '%Y-%m-%dT%H:%M:%S.') || lpad(cast(extract(millisecond from created_at) % 1000 as varchar), 3, '0') || 'Z' shown from c""")
+def iso_texts(spark, d):
+    """Times as ISO texts of several kinds, a few of them no times, read back."""
+    at, k = F.col("created_at"), F.pmod("id", F.lit(7))
+    text = (F.when(k == 0, "not a date").when(k == 1, "2024-02-30").when(k == 2, "").when(k == 3, F.date_format(at, "yyyy-MM-dd"))
+            .when(k == 4, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 5, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+05:30'")).otherwise(dates.iso_text(at)))
+    rows_ = x.tasks(spark, d).select("id", "created_at", text.alias("text"), dates.iso_text(at).alias("shown")).withColumn("instant", dates.iso_instant(F.col("text")))
+    return rows_.select("id", "instant", F.col("instant").cast("date").alias("day"), "shown")
+
+
 @query(f"""with {A} select id, cast(date_trunc('week', application_date) as date) wk, cast(date_trunc('month', application_date) as date) "month", least(application_date - interval 1 month, last_day(application_date - interval 1 month))::date month_ago,
 last_day(application_date) month_end, application_date - 6 back, cast(isodow(application_date) - 1 as int) weekday from apps""")
 def day_functions(spark, d):

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from pipetally.operators import rows
@@ -127,3 +128,26 @@ def test_polls_send_capped_and_never_twice(spark, tmp_path):
     assert [(i, s) for _, i, s in first] == [(0, "Interview reminder: Acme in 24 hours"), (2, "Interview reminder: Acme in 24 hours")]
     spark.createDataFrame([(now + dt.timedelta(minutes=5),)], "now timestamp_ntz").write.parquet(str(tmp_path / "ticks/2"))
     assert [i for _, i, _ in poll()] == [0, 2, 4]  # what was sent is passed over, the opted out still use places
+
+
+def test_polls_read_the_last_hours_and_fail_on_a_broken_outbox(spark, tmp_path):
+    now = dt.datetime(2024, 5, 1, 12)
+    rows_ = [(1, now + dt.timedelta(hours=24), None), (2, now + dt.timedelta(hours=24), now - dt.timedelta(days=9)), (3, now + dt.timedelta(hours=48), now - dt.timedelta(days=9))]
+    due = spark.createDataFrame([(i, 1, 1, at, s) for i, at, s in rows_], "round_id int, application_id int, user_id int, scheduled_date timestamp_ntz, sent24 timestamp_ntz")
+    who = spark.createDataFrame([(1, "a@x.org", True)], "id int, email string, interview_reminders_enabled boolean")
+    apps = spark.createDataFrame([(1, 1, "Acme")], "application_id int, user_id int, company_name string")
+    box = tmp_path / "box"
+    for hour in ("2024043012", "2024050109"):  # long ago, and of another poll than the last: neither is opened
+        (box / f"hour={hour}/poll=0").mkdir(parents=True)
+        (box / f"hour={hour}/poll=0/part-0.parquet").write_text("no parquet")
+
+    def poll(name, at):
+        spark.createDataFrame([(at,)], "now timestamp_ntz").write.parquet(str(tmp_path / f"ticks-{name}/1"))
+        ticks = spark.readStream.schema("now timestamp_ntz").parquet(str(tmp_path / f"ticks-{name}/*"))
+        polls.reminder_polls(ticks, lambda: due, who, apps, ["round_id"], str(box), str(tmp_path / f"state-{name}"), stamped={24: "sent24"}).awaitTermination(120)
+
+    poll("a", now)
+    got = spark.read.parquet(str(box / "hour=2024050112")).collect()
+    assert sorted((r.round_id, r.lead) for r in got) == [(1, 24), (3, 48)]
+    with pytest.raises(Exception):
+        poll("b", now.replace(hour=11))
