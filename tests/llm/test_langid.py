@@ -23,7 +23,13 @@ def model_of(counts, docs, kept=None):
             for g in langid.grams_of(w, size):
                 grams[lang, g] = grams.get((lang, g), 0) + n
                 totals[lang, size] = totals.get((lang, size), 0) + n
-    return langid.LanguageModel(counts, grams, totals, docs)
+    langs = sorted(docs)
+    return langid.LanguageModel(langid.counts_of(counts, langs, 0), langid.counts_of(grams, langs), totals, docs)
+
+
+def shown(model, table):
+    t = model.words if table == "words" else model.grams
+    return {int(k): sorted(zip(t.lang[a:b].tolist(), t.more[a:b].tolist())) for k, a, b in zip(t.keys, t.ends, t.ends[1:])}
 
 
 def plain_prediction(counts, docs, text):
@@ -62,10 +68,10 @@ def plain_prediction(counts, docs, text):
 def test_words_first_then_shorter_ngrams():
     counts = {("en", "the"): 50, ("en", "thing"): 9, ("de", "der"): 50, ("de", "ding"): 9, ("de", "schule"): 5}
     m = model_of(counts, {"en": 10, "de": 10})
-    best = lambda w: m.langs[int(m.backed_off(w).argmax())]
+    best = lambda w: m.langs[int(m.backed_off([w])[0].argmax())]
     assert best("schulen") == "de" and best("things") == "en"
     assert m.predict("the der the", {})[0] == "en"
-    assert not m.backed_off("ωωω").any()
+    assert not m.backed_off(["ωωω"]).any()
 
 
 def test_matches_a_plain_version():
@@ -90,8 +96,33 @@ def test_fit_counts_all_words_and_ngrams(spark):
     m = langid.fit(spark.createDataFrame([(t, g) for g, t in texts], "text string, lang string"))
     counts = {("aa", "one"): 2, ("aa", "two"): 2, ("aa", "seen"): 1, ("bb", "two"): 1, ("bb", "drei"): 2, ("bb", "ß"): 1}
     want = model_of(counts, {"aa": 2, "bb": 1})
-    assert {k: m.words[i].tolist() for k, i in m.index.items()} == {k: want.words[i].tolist() for k, i in want.index.items()}
-    assert {k: m.grams[i].tolist() for k, i in m.gram_index.items()} == {k: want.grams[i].tolist() for k, i in want.gram_index.items()}
+    assert all(shown(m, t) == shown(want, t) for t in ("words", "grams")) and abs(m.never - want.never).max() < 1e-12
+    assert set(shown(m, "words")) == {langid.hash_of(w) for _, w in counts}
+
+
+def test_the_model_of_a_table_is_the_plain_one(spark, small):
+    """Every word of the sample is kept, however rare."""
+    docs = spark.read.parquet(f"{small.replace('sf0.001', 'sf0.01')}/documents.parquet").select("text", "lang")
+    m = langid.fit(docs)
+    counts, by_lang = {}, {}
+    for r in docs.filter("text is not null and lang is not null").distinct().collect():
+        by_lang[r.lang] = by_lang.get(r.lang, 0) + 1
+        for w in langid.words_of(r.text):
+            counts[r.lang, w] = counts.get((r.lang, w), 0) + 1
+    want = model_of(counts, by_lang)
+    assert len(m.words.keys) == len({w for _, w in counts}) > 40_000
+    assert all(shown(m, t) == shown(want, t) for t in ("words", "grams")) and abs(m.never - want.never).max() < 1e-12
+    for text in ("an entirely unseenword hier", "qqq", "la der the"):
+        got, plain = m.predict(text, {}), plain_prediction(counts, by_lang, text)
+        assert got[0] == plain[0] and abs(got[1] - plain[1]) < 1e-4
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    words = [f"only{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}" for i in range(50)]
+    rows = [(f"{w} " * 100, "en") for w in words] + [("sehr lang " * 1000, "de")]
+    m = langid.fit(spark.createDataFrame(rows, "text string, lang string"), most=5000)
+    assert int((m.words.find(words) >= 0).sum()) == 7 and m.words.find(["sehr"])[0] >= 0  # 7 texts of 700 bytes, and one larger one
+    assert langid.fit(spark.createDataFrame(rows, "text string, lang string"), most=5000).langs == ["de", "en"]
 
 
 def test_all_of_a_run_counts():
@@ -102,8 +133,8 @@ def test_all_of_a_run_counts():
 def test_a_rare_language_keeps_its_words(spark):
     """Neither a large language nor a repeated text takes the room of a language with one document."""
     large = [(f"common{i} words{i} of{i} this", "en") for i in range(400)] + [("the very same text", "en")] * 2000
-    m = langid.fit(spark.createDataFrame([*large, ("seltene wörter einer sprache", "de")], "text string, lang string"), sample=50, words=40)
-    assert {"seltene", "wörter", "einer", "sprache"} <= set(m.index) and m.langs == ["de", "en"]
+    m = langid.fit(spark.createDataFrame([*large, ("seltene wörter einer sprache", "de")], "text string, lang string"), sample=50)
+    assert (m.words.find(["seltene", "wörter", "einer", "sprache"]) >= 0).all() and m.langs == ["de", "en"]
     assert m.predict("seltene sprache", {})[0] == "de"
 
 
