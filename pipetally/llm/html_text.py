@@ -36,7 +36,7 @@ BLOCK = frozenset(
 )
 #: Elements that never hold the article, and such whose own class says nothing about their text.
 OUTSIDE = frozenset("nav aside footer head button select option datalist template svg math object audio video canvas dialog menu search".split())
-UNMARKED = frozenset("html body main p h1 h2 h3 h4 h5 h6 pre blockquote a b i em strong span td th".split())
+UNMARKED = frozenset("html body main p h1 h2 h3 h4 h5 h6 pre blockquote a b i em strong td th".split())
 #: Blocks that are a part of a text and never the whole of it.
 LINES = frozenset("p li dt dd td th tr h1 h2 h3 h4 h5 h6 caption legend figcaption summary pre hr".split())
 #: Elements that only group others, whose tags stand at every kind of bound: the least weight of such a tag.
@@ -46,15 +46,15 @@ MARKING = frozenset(
     "nav navbar navigation menu sidebar aside footer header masthead topbar toolbar banner widget widgets modal overlay popup drawer breadcrumb breadcrumbs "
     "pagination pager complementary contentinfo search login signup skip ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted "
     "promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription paywall share sharing social related recommended recommendations "
-    "teaser comment comments commentlist respond reply replies disqus discussion disclaimer copyright hidden".split()
+    "teaser comment comments commentlist feedback responses respond reply replies disqus discussion disclaimer copyright hidden".split()
 )
-NEUTRAL = frozenset("area bar block box button buttons bottom container form group inner item items left links list main page posts right section site top wrap wrapper".split())
+NEUTRAL = frozenset("user users reader readers area bar block box button buttons bottom container form group inner item items left links list main page posts right section site top wrap wrapper".split())
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
-_ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?|[\"'][^\"']*[\"']?")  # a name, then its value
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _NEXT = re.compile(r"<(?=[a-zA-Z/!?])")
 
@@ -69,12 +69,23 @@ class _Element:
         self.outside, self.form, self.inside, self.mark = (up.outside, up.form, up.inside, up.mark) if up else (False, False, False, 0.0)
 
 
+    @property
+    def own(self) -> bool:
+        """Whether nothing around its words says that they are another part's."""
+        return not self.outside and not self.form and self.mark > APART_AT
+
+
 class _Block:
+    """A run of text in the block element ``at``: its own words, and the places of their first and last event."""
+
     __slots__ = ("at", "texts", "linked", "words", "first", "last")
 
     def __init__(self, at: _Element):
         self.at, self.texts, self.linked, self.words, self.first, self.last = at, [], 0, 0, -1, -1
 
+    def text(self) -> str:
+        return " ".join("".join(self.texts).split())
+
 
 def class_weight(token: str, weight: dict[str, float]) -> float:
     """The weight of one class, id or role: its own if it was learned, else the mean of its words'; 0 for what is unknown."""
@@ -100,7 +111,7 @@ def _enter(e: _Element, attrs: str, weight: dict[str, float], classes: list[str]
     if name == "form":
         e.form = True
     for m in _ATTR.finditer(attrs) if attrs else ():
-        key, value = m[1].lower(), (m[2] or "").strip("\"'")
+        key, value = (m[1] or "").lower(), (m[2] or "").strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             e.outside = True
         elif key in ("class", "id", "role") and name not in UNMARKED:
@@ -113,6 +124,9 @@ def _enter(e: _Element, attrs: str, weight: dict[str, float], classes: list[str]
 class Page:
     """The (feature, words) events of a page in order, its blocks of text, and its elements.
 
+    Each word is judged by the element that it is in, whatever else its block holds: ``apart`` has the
+    events of words of other parts, which no block has.
+
     Comments, declarations and raw text elements are passed over; end tags that nothing opened are
     ignored; what HTML lets stay open is closed; depth has no limit.
     """
@@ -121,6 +135,8 @@ class Page:
         """``named``: gets the elements of each class, id or role."""
         self.events: list[tuple[str, int]] = []
         self.blocks: list[_Block] = []
+        self.apart: set[int] = set()
+        self.words: list[tuple[_Element, int, bool]] = []
         self.elements = [_Element("#", None)]
         events, blocks, elements = self.events, self.blocks, self.elements
         at, block, links, pos, size = elements[0], None, 0, 0, len(page)
@@ -135,20 +151,26 @@ class Page:
 
         def text(raw: str) -> None:
             nonlocal block
-            if block is None:
-                if not raw.strip():
-                    return
-                block = _Block(at)
-                blocks.append(block)
-            block.texts.append(html.unescape(raw) if "&" in raw else raw)
-            n = len(raw.split())
+            n, own = len(raw.split()), at.own
+            if n:
+                self.words.append((at, n, own))
+                if not own:
+                    self.apart.add(len(events))
+            if own:
+                if block is None and n:
+                    e = at
+                    while e.up is not None and e.name not in BLOCK:
+                        e = e.up
+                    block = _Block(e)
+                    blocks.append(block)
+                if block is not None:
+                    block.texts.append(html.unescape(raw) if "&" in raw else raw)
+                    if n:
+                        block.words += n
+                        block.linked += n if links else 0
+                        block.first = len(events) if block.first < 0 else block.first
+                        block.last = len(events)
             if n:
-                block.words += n
-                if links:
-                    block.linked += n
-                if block.first < 0:
-                    block.first = len(events)
-                block.last = len(events)
                 events.append(("w:link" if links else "w:text", n))
 
         while pos < size:
@@ -230,12 +252,6 @@ class Page:
                 _enter(at, tag[3], weight, classes)
                 for c in classes or ():
                     named.setdefault(c, []).append(at)
-        self.blocks = [b for b in blocks if b.first >= 0]
-
-    def kept(self, block: _Block, forms: bool = False, marks: bool = True) -> bool:
-        """Whether nothing around a block says that it is another part's."""
-        e = block.at
-        return not e.outside and (forms or not e.form) and (not marks or e.mark > APART_AT)
 
 
 def labelled(page: str | None) -> bool:
@@ -248,14 +264,14 @@ def feature_counts(page: str) -> dict[tuple[str, bool], int]:
     """How often each feature is inside and outside of the article of a labelled page; classes count the words below them."""
     named: dict[str, list] = {}
     p = Page(page, PRIOR, named)
-    mine = [b for b in p.blocks if p.kept(b) and b.at.inside]
+    mine = [b for b in p.blocks if b.at.inside]
     lo, hi = (mine[0].first, mine[-1].last) if mine else (1, 0)
     out: dict[tuple[str, bool], int] = {}
     for i, (f, n) in enumerate(p.events):
         key = (f, lo <= i <= hi)
         out[key] = out.get(key, 0) + (n or 1)
     for side in (True, False):
-        words = _words_below(p, [b for b in p.blocks if (p.kept(b) and b.at.inside) == side])
+        words = _below(p, [(e, n) for e, n, own in p.words if (own and e.inside) == side])
         for c, elements in named.items():
             n = sum(words[id(e)] for e in elements)
             if n:
@@ -263,15 +279,15 @@ def feature_counts(page: str) -> dict[tuple[str, bool], int]:
     return out
 
 
-def _words_below(p: Page, blocks: list[_Block]) -> dict[int, int]:
-    """The words of ``blocks`` below each element (by identity)."""
-    words = {id(e): 0 for e in p.elements}
-    for b in blocks:
-        words[id(b.at)] += b.words
+def _below(p: Page, words: list[tuple[_Element, int]]) -> dict[int, int]:
+    """The words of ``words`` below each element (by identity)."""
+    out = {id(e): 0 for e in p.elements}
+    for e, n in words:
+        out[id(e)] += n
     for e in reversed(p.elements):  # elements stand in order of their start, parents first
         if e.up is not None:
-            words[id(e.up)] += words[id(e)]
-    return words
+            out[id(e.up)] += out[id(e)]
+    return out
 
 
 def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
@@ -305,18 +321,30 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return out
 
 
-def _region(p: Page, weight: dict[str, float], kept: list[bool]) -> list[_Block]:
-    """The blocks of the article: those of the best region, its ends put right by the container that holds it."""
+def _reach(gains: list[float]) -> int:
+    """How many of the first ``gains`` have the greatest positive sum; the more of equals."""
+    best, total, out = 0.0, 0.0, 0
+    for i, g in enumerate(gains):
+        total += g
+        if total >= best and total > 0:
+            best, out = total, i + 1
+    return out
+
+
+def _region(p: Page, weight: dict[str, float]) -> list[_Block]:
+    """The blocks of the article: those of the best region, its ends put right by the container that holds it.
+
+    In an ``article`` or ``main`` the ends move on over blocks of the container as long as these score: their
+    words against the tags that are theirs (a group's tag, which stands at every kind of bound, does not count).
+    """
     scores = [weight.get(f, weight["t:other"]) * (n or 1) for f, n in p.events]
-    for b, own in zip(p.blocks, kept):
-        if not own:  # words of other parts count like the markup that they are
-            for i in range(b.first, b.last + 1):
-                scores[i] = min(scores[i], weight["t:other"])
+    for i in p.apart:  # words of other parts count like the markup that they are
+        scores[i] = min(scores[i], weight["t:other"])
     lo, hi = best_region(scores)
-    at = [k for k, (b, own) in enumerate(zip(p.blocks, kept)) if own and b.last >= lo and b.first <= hi]
+    at = [k for k, b in enumerate(p.blocks) if b.last >= lo and b.first <= hi]
     if not at:
         return []
-    words = _words_below(p, [p.blocks[k] for k in at])
+    words = _below(p, [(p.blocks[k].at, p.blocks[k].words) for k in at])
     part = holder = p.elements[0]
     need = HELD * words[id(holder)]
     for e in p.elements:  # children come after their parents, so this ends at the smallest
@@ -328,15 +356,20 @@ def _region(p: Page, weight: dict[str, float], kept: list[bool]) -> list[_Block]
     for e in p.elements:
         if e.up is not None and id(e.up) in below:
             below.add(id(e))
-    mine = [k for k, (b, own) in enumerate(zip(p.blocks, kept)) if own and id(b.at) in below]
+    mine = [k for k, b in enumerate(p.blocks) if id(b.at) in below]
     if part.name in ("article", "main"):
-        return [p.blocks[k] for k in mine]
+        grouping = weight["t:other"]
+        own = [sum(scores[i] for i in range(b.first, b.last + 1) if i not in p.apart) + max(weight.get(f"t:{b.at.name}", grouping), LEAST_GROUP) for b in p.blocks]
+        before, after = [k for k in mine if k < at[0]], [k for k in mine if k > at[-1]]
+        first, last = _reach([own[k] for k in reversed(before)]), _reach([own[k] for k in after])
+        chosen = [*before[len(before) - first :], *[k for k in mine if at[0] <= k <= at[-1]], *after[:last]]
+        return [p.blocks[k] for k in chosen]
     if part.name in ("html", "body", "#"):
         # no container: headings before the region are its own, lists of links at its ends are not
         first = at[0]
-        while first > 0 and kept[first - 1] and re.fullmatch("h[1-6]", p.blocks[first - 1].at.name):
+        while first > 0 and re.fullmatch("h[1-6]", p.blocks[first - 1].at.name):
             first -= 1
-        out = [p.blocks[k] for k in range(first, at[-1] + 1) if kept[k]]
+        out = p.blocks[first : at[-1] + 1]
         while len(out) > 1 and out[0].linked * 3 > out[0].words * 2:
             out.pop(0)
         while len(out) > 1 and out[-1].linked * 3 > out[-1].words * 2:
@@ -344,7 +377,7 @@ def _region(p: Page, weight: dict[str, float], kept: list[bool]) -> list[_Block]
         return out
     # a container of any other kind: what it holds before and after the region, up to a list of links
     first, last = min(at[0], mine[0]), max(at[-1], mine[-1])
-    linked = lambda k: kept[k] and p.blocks[k].linked * 3 > p.blocks[k].words * 2
+    linked = lambda k: p.blocks[k].linked * 3 > p.blocks[k].words * 2
     for k in range(at[0] - 1, first - 1, -1):
         if linked(k):
             first = k + 1
@@ -353,24 +386,15 @@ def _region(p: Page, weight: dict[str, float], kept: list[bool]) -> list[_Block]
         if linked(k):
             last = k - 1
             break
-    return [p.blocks[k] for k in range(first, last + 1) if kept[k]]
+    return p.blocks[first : last + 1]
 
 
 def extract(page: str | None, weight: dict[str, float]) -> str:
-    """The article's text; empty for null and for pages without words outside of menus, footers and the like.
+    """The article's text; empty for null and for pages without words outside of menus, forms, adverts, comments and the like.
 
-    Of regions with one sum the first is taken.  A page whose only words are in a form, or below marked
-    elements, is read once more without those rules.
+    Of regions with one sum the first is taken.
     """
-    if not page:
-        return ""
-    p = Page(page, weight)
-    for forms, marks in ((False, True), (True, True), (True, False)):
-        region = _region(p, weight, [p.kept(b, forms, marks) for b in p.blocks])
-        if region:
-            lines = [" ".join("".join(b.texts).split()) for b in region]
-            return "\n".join(x for x in lines if x)
-    return ""
+    return "\n".join(b.text() for b in _region(Page(page, weight), weight)) if page else ""
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES, seed: int = 1) -> dict[str, float]:

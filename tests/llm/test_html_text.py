@@ -58,7 +58,18 @@ CASES = {
     "<body><main><article><p>one two three four five</p></article><article><p>six seven eight nine ten eleven twelve</p></article></main></body>": "one two three four five\nsix seven eight nine ten eleven twelve",
     "<body><div class=cookie-notice>we use cookies here and there</div><div class=content><h2>Words</h2><p>one two three four five six.</p><p>x</p></div><div class=share-buttons>Share this</div><div class=comments><p>I like it a lot</p></div></body>":
     "Words\none two three four five six.\nx",
-    "<body><div class=comments><p>only comments are on this page</p></div></body>": "only comments are on this page",
+    "<body><div class=comments><p>only comments are on this page</p></div></body>": "",
+    "<body><form><label>Name</label><p>Enter your address here</p></form></body>": "",
+    "<body><div class=ad>Buy this now and here</div></body>": "",
+    # names inside of values are no attributes
+    '<article data-menu="hidden"><p>one two three</p></article>': "one two three",
+    '<div title="hidden gems" data-x=\'class="ad"\'><p>one two three</p></div>': "one two three",
+    '<article><p><a href="/hidden-places">link</a> words of it</p></article>': "link words of it",
+    # a word is judged by its own element
+    "<article><p><button>Listen</button> text of it all</p></article>": "text of it all",
+    "<article><p><span hidden>x</span> text <span style='display:none'>SECRET</span>more <select><option>a</select> <svg>q</svg>end</p></article>": "text more end",
+    "<article><p>One two <span class='ad'>BUY NOW</span>three <b class='ad'>four</b></p></article>": "One two three four",
+    "<body><article><p>one two three</p></article><div class='user-feedback'><p>I like it very much</p></div><div id=responses><p>me too</p></div></body>": "one two three",
     "<body><font><div class=story><p>one two three</p></div></font><ul><li><a href=1>other</a><li><a href=2>things</a></ul></body>": "one two three",
 }
 
@@ -74,6 +85,13 @@ def test_weights_decide(small, spark):
     learned = H.fit(spark.read.parquet(f"{small}/pages.parquet"))
     without = {**learned, **{f: 0.0 for f in learned if f[0] == "c"}}  # classes say nothing
     assert sum(H.extract(p, learned) != H.extract(p, without) for p in CASES) >= 2
+    # on the table's own pages too, inside their article elements: short blocks stay only while words outweigh tags
+    small_words = {**learned, "w:text": 0.001, "w:link": 0.001}
+    few_words = {**learned, "w:text": 0.2}
+    texts = [H.extract(p, learned) for p in pages]
+    assert all(len(H.extract(p, small_words)) < len(t) for p, t in zip(pages, texts))
+    changed = [(t, H.extract(p, few_words)) for p, t in zip(pages, texts)]
+    assert sum(t != c for t, c in changed) >= 1 and all(c in t for t, c in changed)
     flat = {f: 1.0 if f[0] == "w" else -0.001 for f in learned if f[0] != "c"}
     page = "<body><div><p>a short lead</p></div>" + "<hr>" * 30 + "<div><p>" + "words of the text " * 9 + "</p></div></body>"
     assert H.extract(page, learned) != H.extract(page, flat) and "lead" in H.extract(page, flat)
@@ -125,3 +143,38 @@ def test_odd_rows(spark, weight):
     assert by[4] == "\n".join(["words of a paragraph"] * 20_000) and all(n == len(t) for _, t, n in got)
     assert H.extracted(df.limit(0), weight).count() == 0
     assert H.fit(df.limit(0))["w:text"] > 0
+
+
+def plain_blocks(weight, events):
+    """The texts of a page of (tag, words) blocks in one article: the best run of all, then the best growth at both ends."""
+    scores = []
+    for tag, words in events:
+        scores += [weight.get(f"t:{tag}", weight["t:other"]), weight["w:text"] * len(words), weight.get(f"t:{tag}", weight["t:other"])]
+    scores = [weight["t:article"], *scores, weight["t:article"]]
+    runs = [(sum(scores[a:b]), -a, -b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+    total, a, b = max(runs)
+    if total <= 0:
+        return []
+    places = [2 + 3 * k for k in range(len(events))]
+    inside = [k for k, at in enumerate(places) if -a <= at < -b]
+    own = [weight["w:text"] * len(w) + max(weight.get(f"t:{t}", weight["t:other"]), H.LEAST_GROUP) for t, w in events]
+    first, last = inside[0], inside[-1]
+    up = max(range(first + 1), key=lambda k: (round(sum(own[k:first]), 9), -k))
+    down = max(range(last, len(events)), key=lambda k: (round(sum(own[last + 1 : k + 1]), 9), k))
+    return [" ".join(w) for _, w in events[up : down + 1]]
+
+
+def test_articles_by_brute_force():
+    """Random weights and blocks: the whole operator against trying every run."""
+    import random
+
+    rnd = random.Random(3)
+    ended = 0
+    for _ in range(300):
+        weight = {**H.PRIOR, "w:text": rnd.choice([0.07, 0.31, 1.03]), "t:p": -rnd.choice([0.2, 1, 3]), "t:h2": -rnd.choice([0.2, 2, 4]), "t:article": -1.0}
+        events = [(rnd.choice(["p", "p", "h2"]), [f"w{rnd.randrange(99)}" for _ in range(rnd.choice([1, 2, 5, 20]))]) for _ in range(rnd.randrange(1, 9))]
+        page = "<article>" + "".join(f"<{t}>{' '.join(w)}</{t}>" for t, w in events) + "</article>"
+        want = plain_blocks(weight, events)
+        assert H.extract(page, weight).split("\n") == (want or [""])
+        ended += 0 < len(want) < len(events)
+    assert ended > 30
