@@ -37,6 +37,7 @@ WORDS, PIECES = 500_000, 600_000
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _LATIN = re.compile(r"[\x21-\x7e\xa1-\xff]+")
+_MARKS = frozenset(".,;:!?")
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
 
 
@@ -77,6 +78,17 @@ def encodes_by_words(config: dict) -> bool:
         t["content"].startswith("<|") for t in config.get("added_tokens") or [])
 
 
+class _Words(dict):
+    """The ids of words, as bytes; one that is missing is encoded."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.encode(word)
+        return ids
+
+
 class WordEncoder:
     """Ids of whole texts, as the tokenizers library has them.
 
@@ -89,45 +101,37 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_words = encodes_by_words(json.loads(Path(path).read_text()))
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = _Words(self._word), _Words(self._piece)
 
     def _plain(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        # a piece is what the tokenizer's own pattern finds, so the model alone can encode it
+        return array("I", [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(_LETTERS))]).tobytes()
+
     def _word(self, word: str) -> bytes:
         # Latin-1 is in normal form, and lower-casing keeps its letters letters; special tokens hold "<|"
         if not _LATIN.fullmatch(word) or "<|" in word:
             return self._plain(word)
-        out = []
-        for p in _PIECE.findall(word.lower()):
-            ids = self.pieces.get(p)
-            if ids is None:
-                # a piece is what the tokenizer's own pattern finds, so the model alone can encode it
-                ids = self.pieces[p] = array("I", [t.id for t in self.model.tokenize(p.translate(_LETTERS))]).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        low = word.lower()
+        if low.isalpha():  # what the pattern finds are runs of letters
+            return self.pieces[low]
+        if low[:-1].isalpha() and low[-1] in _MARKS:
+            return self.pieces[low[:-1]] + self.pieces[low[-1]]
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(low)))
 
     def encode(self, text: str) -> np.ndarray:
         if not self.by_words or _ODD_SPACE.search(text):
             return np.frombuffer(self._plain(text), dtype="<u4")
         if "<|" not in text and _latin(text):
             text = text.lower()  # as the tokenizer would; fewer distinct words
-        words, seen = text.split(), self.words
-        out = list(map(seen.get, words))
-        at = -1
-        for _ in range(out.count(None)):
-            at = out.index(None, at + 1)
-            w = words[at]
-            ids = seen.get(w)
-            if ids is None:
-                ids = seen[w] = self._word(w)
-            out[at] = ids
-        if len(seen) > WORDS:
-            seen.clear()
+        ids = b"".join(map(self.words.__getitem__, text.split()))
+        if len(self.words) > WORDS:
+            self.words.clear()
         if len(self.pieces) > PIECES:
             self.pieces.clear()
-        return np.frombuffer(b"".join(out), dtype="<u4")
+        return np.frombuffer(ids, dtype="<u4")
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
