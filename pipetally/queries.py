@@ -817,7 +817,8 @@ def csv_multi_line(spark, d):
     # 64 lines of the order of ids are a block, whatever record they belong to
     at = F.col("id") * 4 + F.col("k")
     lines = lines.withColumns({"at": at, "block": F.floor(at / 64)})
-    good, _ = csvio.parse_applications(csvio.quoted_records(lines, F.col("at"), "user_id", "block"), order=F.col("at"), file="user_id", block=["block"])
+    records = folders.stored(csvio.quoted_records(lines, F.col("at"), "user_id", "block"), "csv-records")
+    good, _ = csvio.parse_applications(records, order=F.col("at"), file="user_id", block=["block"])
     return good.select(F.col("file").alias("user_id"), F.col("n").cast("long").alias("n"), "company_name", "application_date", "status", "notes")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pipetally.functions.texts import or_else, trimmed
 from pipetally.operators.changes import append_rows
 from pipetally.operators.validation import Rule, application_rules, validate
+from pipetally.sources.folders import stored
 
 # The exported columns in order, and those that an import needs.
 HEADER = {
@@ -130,7 +131,7 @@ def read_csv_rows(spark: SparkSession, path: str, rules: list[Rule] | None = Non
     if not multi_line:
         return parse_applications(lines, rules, file="path", block=["start"])
     # a task reads the lines of a split in order, so this order is the same in every evaluation
-    records = quoted_records(lines, F.monotonically_increasing_id(), "path", "start", longest)
+    records = stored(quoted_records(lines, F.monotonically_increasing_id(), "path", "start", longest), "csv-records")
     return parse_applications(records, rules, order=F.col("at"), file="path", block=["start"])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
@@ -16,3 +16,10 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='pipetally-')}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in that folder, for what is read more than once and dear to make."""
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
