@@ -9,6 +9,8 @@ left is verified by products.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +25,8 @@ BUCKET, BLOCK, BY_COORDINATE = 2048, 512, 0.8
 STEPS = 64
 #: Tables of buckets and of query blocks (their numbers and lengths only) up to this many rows are broadcast.
 BROADCAST_ROWS = 100_000
+#: The first buckets are broadcast up to so many bytes; beyond, each goes to so many tasks.
+BROADCAST_BYTES, SALTS = 64 << 20, 16
 #: Products up to here are exact in doubles.
 _EXACT = 2.0**52
 
@@ -108,6 +112,15 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.mapInPandas(work, "query long, row long, vec_id long, score long")
 
 
+def _with_first(q: DataFrame, first: DataFrame) -> DataFrame:
+    """Query blocks beside the bucket of the longest vectors of their size (a row a size): sent to all tasks if it is small in bytes, else ``SALTS`` times."""
+    size = first.agg(F.sum(F.size("v").cast("long") * 8)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return q.join(F.broadcast(first), "dim")
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return q.withColumn("salt", F.pmod("part", F.lit(SALTS))).join(salted, ["dim", "salt"]).drop("salt")
+
+
 def top_k(vectors: DataFrame, is_query: Column | str, k: int = 5, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of ``vectors`` (vec_id, v, norm) for each row that ``is_query``.
 
@@ -125,6 +138,7 @@ def top_k(vectors: DataFrame, is_query: Column | str, k: int = 5, bucket: int =
     for r in sorted(sizes, reverse=True):
         dealing.append((r["g"], max(1, -(-r["count"] // bucket)), before))
         before += dealing[-1][1]
+    ranges = F.from_json(F.lit(json.dumps([dict(zip(("g", "n", "at"), r)) for r in dealing])), "array<struct<g: int, n: int, at: int>>")  # a few hundred at most
     dealing = F.broadcast(spark.createDataFrame(dealing, "g int, parts int, first int"))
     dealt = dealt.join(dealing, "g").withColumn("b", (F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts"))).cast("int"))
     blocks = written(_blocked(dealt, ["b"]), "buckets")
@@ -142,17 +156,19 @@ def top_k(vectors: DataFrame, is_query: Column | str, k: int = 5, bucket: int =
 
     lengths = written(blocks.select("b", "dim", F.col("norm")[0].alias("top")), "bucket-lengths")
     longest = lengths.groupBy("dim").agg(F.max_by("b", F.struct("top", -F.col("b"))).alias("b"))
-    first = blocks.join(F.broadcast(longest), ["dim", "b"]).select("dim", "row", "vec_id", "norm", "v")
+    first = written(blocks.join(F.broadcast(longest), ["dim", "b"]).select("dim", "row", "vec_id", "norm", "v"), "first-buckets")
     none = F.transform("query", lambda _: F.lit(None).cast("double"))
-    seeds = written(best(_search(q.join(first, "dim").withColumn("least", none), k)), "seeds")
+    seeds = written(best(_search(_with_first(q, first).withColumn("least", none), k)), "seeds")
     kth = seeds.filter(F.col("rank") == k).select("query", F.col("score").cast("double").alias("s"))
     least = q.select("part", "dim", F.posexplode(F.arrays_zip("query", "q_norm")).alias("p", "z")).select("part", "dim", "p", "z.query", "z.q_norm").join(kth, "query", "left")
     # the shortest length of a bucket's longest vector that any query of the block can need
     reach = F.min(F.when(F.col("s").isNull() | (F.col("s") <= 0) | (F.col("q_norm") == 0), F.lit(0.0)).otherwise(F.col("s") / F.col("q_norm"))).alias("reach")
     least = written(least.groupBy("part", "dim").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "s"))), lambda z: z.s).alias("least"), reach), "query-bounds")
-    by_dim = few(lengths.groupBy("dim").agg(F.collect_list(F.struct("top", "b")).alias("tops")), BROADCAST_ROWS)
-    needed = least.select("part", "dim", "reach").join(by_dim, "dim")
-    needed = needed.select("part", "dim", F.explode(F.filter("tops", lambda t: t.top * (1 + 1e-9) >= F.col("reach"))).alias("t")).select("part", "dim", "t.b")
+    # ranges of length that reach far enough, their buckets, and of these the ones that do
+    from_g = F.floor(F.log2(F.col("reach") * (1 - 1e-9)) * STEPS) - 1
+    near = F.filter(ranges, lambda r: (F.col("reach") <= 0) | (r["g"] >= from_g))
+    needed = least.select("part", "dim", "reach", F.explode(near).alias("r")).select("part", "dim", "reach", F.explode(F.sequence(F.col("r.at"), F.col("r.at") + F.col("r.n") - 1)).alias("b"))
+    needed = needed.join(few(lengths, BROADCAST_ROWS), ["b", "dim"]).filter(F.col("top") * (1 + 1e-9) >= F.col("reach")).select("part", "dim", "b")
     pairs = needed.join(q.join(least.drop("reach"), ["part", "dim"]), ["part", "dim"]).join(blocks, ["b", "dim"])
     pairs = pairs.select("part", "b", "dim", "query", "q_norm", "qv", "least", "row", "vec_id", "norm", "v").repartition(spark.sparkContext.defaultParallelism * 2, "part", "b")
     ids = asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))

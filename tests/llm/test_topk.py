@@ -40,6 +40,14 @@ def test_matches_brute_force(spark, kind):
     assert sorted(tuple(r) for r in got.collect()) == plain(rows, 5)
 
 
+def test_first_buckets_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", 0)
+    rnd = np.random.default_rng(9)
+    rows = [(int(i), [float(x) for x in rnd.normal(size=4) * np.exp(rnd.normal())]) for i in range(400)]
+    got = topk.top_k(topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), ASKS, bucket=32, block=2)
+    assert sorted(tuple(r) for r in got.collect()) == plain(rows, 5)
+
+
 def test_repeated_ids_are_rows_of_their_own(spark):
     rnd = np.random.default_rng(8)
     rows = [(int(i), [float(x) for x in rnd.normal(size=3)]) for i in [0, 0, 0, 1, 1, 50, 50, *range(60, 90)]]
