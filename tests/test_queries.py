@@ -69,3 +69,8 @@ def test_scan_is_pruned_and_filters_are_pushed(spark, small):
     assert "p_retailprice" not in plan
     plan = tracking.QUERIES["scan_tenant"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_custkey,7)" in plan
+
+
+def test_declared_schemas_are_the_stored_ones(spark, small):
+    for name in x.SCHEMAS:
+        assert x.table(spark, small, name).dtypes == spark.read.parquet(f"{small}/{name}.parquet").dtypes
