@@ -102,6 +102,26 @@ def bucket_rows(slots: np.ndarray, least: int) -> Iterator[dict]:
         yield {"chunk": int(chunk[a]), "at": (slots[a:b] % CHUNK).astype("<u2").tobytes(), "counts": counts[a:b].tobytes()}
 
 
+def _distinct(ids: np.ndarray, size: int, step: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The different rows of ``ids`` (numbers below ``size``) and their counts, some at a time."""
+    width = ids.shape[1]
+    if size**width < 1 << 62:
+        key = ids[:, 0].copy()
+        for k in range(1, width):
+            key = key * size + ids[:, k]
+        key, counts = np.unique(key, return_counts=True)
+        for at in range(0, len(key), step):
+            rest, cols = key[at : at + step], []
+            for _ in range(width):
+                cols.append(rest % size)
+                rest = rest // size
+            yield np.stack(cols[::-1], axis=1), counts[at : at + step]
+    else:
+        some, counts = np.unique(ids, axis=0, return_counts=True)
+        for at in range(0, len(some), step):
+            yield some[at : at + step], counts[at : at + step]
+
+
 class _Pass:
     """What one task counts in pass ``length``."""
 
@@ -153,26 +173,15 @@ class _Pass:
         return _in(self.known, _slots(g, self.bits))
 
     def rows(self) -> Iterator[dict]:
-        for lang, parts in self.met.items():
-            ids, words = np.concatenate(parts), self.langs[lang].words
-            key = ids[:, 0].copy()
-            size = len(words)
-            if size ** ids.shape[1] < 1 << 62:
-                for k in range(1, ids.shape[1]):
-                    key = key * size + ids[:, k]
-                key, counts = np.unique(key, return_counts=True)
-                cols = []
-                for _ in range(ids.shape[1]):
-                    cols.append((key % size).tolist())
-                    key = key // size
-                grams = zip(*cols[::-1])
-            else:
-                grams, counts = np.unique(ids, axis=0, return_counts=True)
-                grams = grams.tolist()
-            for g, n in zip(grams, counts.tolist()):
-                yield {"lang": lang, "phrase": b" ".join([words[i] for i in g]).decode("utf-8", "surrogatepass"), "n": n}
+        for lang in list(self.met):
+            ids, words = np.concatenate(self.met.pop(lang)), self.langs[lang].words
+            for some, counts in _distinct(ids, len(words)):
+                for g, n in zip(some.tolist(), counts.tolist()):
+                    yield {"lang": lang, "phrase": b" ".join([words[i] for i in g]).decode("utf-8", "surrogatepass"), "n": n}
         if self.buckets:
-            yield from bucket_rows(np.concatenate(self.buckets), self.least)
+            slots = np.concatenate(self.buckets)
+            self.buckets.clear()
+            yield from bucket_rows(slots, self.least)
         self.clear()
 
     def crowded(self) -> bool:
