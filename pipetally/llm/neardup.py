@@ -1,10 +1,12 @@
-"""Near-duplicate removal: candidates by an exact prefix filter, verified on word shingles.
+"""Near-duplicate removal: SimHash classes first, then what no fingerprint shows, on word shingles.
 
-The pipeline's stage.  Texts count as near copies from a Jaccard similarity of 0.8 of their sets of
-five-word shingles.  No SimHash radius follows from that, so candidates come from the sets: under one
-order of all shingles, two sets of n and m shingles that are similar enough share one among the first
-n - ceil(0.8 n) + 1 of the one and m - ceil(0.8 m) + 1 of the other.  Any order gives every pair;
-shingles that are common in a sample come last, so that few buckets are large.
+The pipeline's stage.  Texts whose SimHash fingerprints link (those of ``simhash``: 3-word shingles, 2 or
+fewer differing bits, by covering masks) are near copies, and so are those with a Jaccard similarity of 0.8
+or more of their sets of five-word shingles.  No SimHash radius follows from the latter, so an exact filter
+comes after the fingerprints, for pairs of texts that these leave apart: under one order of all shingles, two
+sets of n and m shingles that are similar enough share one among the first n - ceil(0.8 n) + 1 of the one and
+m - ceil(0.8 m) + 1 of the other.  Any order gives every pair; shingles that are common in a sample come
+last, so that few buckets are large.
 
 A text is a class of equal rows and has a number, its ``node``; rows are found again by a digest of
 their text, so that ids, which may repeat or be missing, decide only which row of a class stays.
@@ -24,8 +26,11 @@ from pyspark.sql import functions as F
 
 from pipetally.llm.components import connected_components
 from pipetally.llm.shared import few, freed, pieces, reach_workers, scratch, small_enough, written
+from pipetally.llm.simhash import fingerprint, linked_fingerprints
 
 WORDS, SIMILARITY = 5, 0.8
+#: Words of a shingle of the SimHash fingerprints.
+HASHED_WORDS = 3
 #: Guard against rounding: a prefix may be longer than needed, never shorter.
 ROUND = 1e-9
 #: Bits of the parity sketch of a set of up to so many shingles; a larger set has a power of two that is no less than its size.
@@ -136,8 +141,8 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """(same, id, size, first, sketch, node) of every different text: its least doc_id, the number of its shingles,
-    the first of them, and their sketch."""
+    """(same, id, fp, size, first, sketch, node) of every different text: its least doc_id, its SimHash fingerprint, the
+    number of its shingles, the first of them, and their sketch."""
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))  # at most MOST of them
 
     def work(batches):
@@ -151,19 +156,38 @@ def _texts(docs: DataFrame) -> DataFrame:
                 seen.add(s)
             if len(seen) > SEEN:
                 seen.clear()
-            sets = [shingle_hashes(t.as_py()) if n else None for t, n in zip(b.column(2), new)]
+            whole = [t.as_py() if n else None for t, n in zip(b.column(2), new)]
+            sets = [shingle_hashes(t) if t is not None else None for t in whole]
             first = [prefix_of(s, common, counts).tolist() if s is not None else None for s in sets]
             yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(1), pa.array([None if s is None else len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())),
+                b.column(0), b.column(1), pa.array([None if t is None else fingerprint(t, HASHED_WORDS) for t in whole], pa.int64()),
+                pa.array([None if s is None else len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())),
                 pa.array([None if s is None else sketch_of(s) for s in sets], pa.binary()),
-            ], names=["doc_id", "same", "size", "first", "sketch"])
+            ], names=["doc_id", "same", "fp", "size", "first", "sketch"])
 
-    rows = _keyed(docs).mapInArrow(work, "doc_id long, same binary, size long, first array<bigint>, sketch binary")
+    rows = _keyed(docs).mapInArrow(work, "doc_id long, same binary, fp long, size long, first array<bigint>, sketch binary")
     one = lambda c: F.first(c, ignorenulls=True).alias(c)
-    texts = rows.groupBy("same").agg(F.min("doc_id").alias("id"), one("size"), one("first"), one("sketch"))
+    texts = rows.groupBy("same").agg(F.min("doc_id").alias("id"), one("fp"), one("size"), one("first"), one("sketch"))
     return written(texts.withColumn("node", F.monotonically_increasing_id()), "dup-texts")
 
 
+def simhash_links(texts: DataFrame) -> DataFrame:
+    """(a, b): each of the ``texts`` (node, fp) with the least text of its SimHash class, all that fingerprints of 2 or fewer differing bits reach."""
+    nodes = written(texts.groupBy("fp").agg(F.min("node").alias("a"), F.count("*").alias("n")), "dup-fingerprints")
+    found = written(linked_fingerprints(nodes.select("fp")), "dup-linked")
+    classes = found.join(nodes, "fp").groupBy("component").agg(F.min("a").alias("a"), F.sum("n").alias("n")).filter("n > 1").select("component", "a")
+    near = written(found.join(few(written(classes, "dup-simhash"), BROADCAST_ROWS), "component").select("fp", "a"), "dup-named")
+    return written(texts.select("fp", F.col("node").alias("b")).join(few(near, BROADCAST_ROWS), "fp").filter("a <> b").select("a", "b"), "dup-links")
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the stars ``links`` (least text, text) do not hold together already."""
+    links = few(links, BROADCAST_ROWS)
+    for x in "ab":
+        pairs = pairs.join(links.select(F.col("b").alias(x), F.col("a").alias(f"c{x}")), x, "left")
+    return pairs.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def _close(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow the similarity."""
     for x in "ab":
@@ -207,15 +231,18 @@ def _similar(docs: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def text_classes(docs: DataFrame) -> DataFrame:
     """(same, id, class): every different text that is not alone, its least doc_id, and its class of near copies.
 
-    In every bucket first the least text is compared with the others.  Where a large bucket is then left
+    SimHash classes are whole from the start.  In every bucket then the least text is compared with those of other
+    classes.  Where a large bucket is then left
     with several classes, each of its texts goes with its shingles to one block of one such bucket, and
     blocks join what is similar there; dealt twice, they leave few classes of a large group.  Where a bucket still
     has several, texts of different ones are compared: as pairs in small buckets, inside tasks and in
     blocks of bounded size in larger ones, so that only candidates leave a block.  No similar pair of
-    different classes is missed.  Texts without words are copies only if equal.
+    different classes is missed.  Texts without words are copies only if
+    their fingerprints link.
     """
     reach_workers(docs.sparkSession)
     texts = _texts(docs)
+    links = simhash_links(texts)
     spread = texts.select("node", F.explode("first").alias("key"))
     met = written(spread.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).filter("n > 1"), "dup-buckets")
     # a bucket of two is its two ends; the others are joined back to their texts
@@ -226,7 +253,7 @@ def text_classes(docs: DataFrame) -> DataFrame:
     one = held.groupBy("key", "n").agg(F.min("node").alias("a"), *marks).groupBy("n", "a", "m0", "m1").agg(F.min("key").alias("key")).select("key", "a")
     held = freed(written(held.join(few(one, BROADCAST_ROWS), "key"), "dup-distinct"))
     pairs = met.filter("n = 2").select("a", "b").unionByName(held.filter("node <> a").select("a", F.col("node").alias("b"))).distinct()
-    links = _similar(docs, written(_close(pairs, texts), "dup-pairs"), texts)
+    links = links.unionByName(_similar(docs, written(_close(_apart(pairs, links), texts), "dup-pairs"), texts))
     links = _inside_one_bucket(docs, texts, held, links)
     links = links.unionByName(_between_classes(docs, texts, held, links))
     classes = connected_components(links)

@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from pipetally.llm import neardup
+from pipetally.llm import neardup, simhash
 
 
 def plain_kept(rows):
@@ -147,6 +147,21 @@ def test_block_links_join_what_is_similar():
     assert neardup.block_links(ids, np.zeros(120, dtype=int), sets) == []
 
 
+def test_simhash_classes_are_whole(spark):
+    """Every class of the SimHash operator keeps one text, also where the sets of shingles differ; the exact filter adds to it."""
+    rnd = random.Random(16)
+    word = lambda: f"v{rnd.randrange(20_000)}"
+    line = " ".join(word() for _ in range(21))
+    rows = [(i, f"{line} " * 50 + " ".join(word() for _ in range(60))) for i in range(4)]  # one fingerprint; Jaccard similarity about 0.2
+    rows += [(10 + i, " ".join(word() for _ in range(40))) for i in range(20)]
+    rows += [(30 + i, rows[4 + i][1] + " end") for i in range(3)] + [(40, ""), (41, " \t"), (42, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in neardup.without_near_duplicates(docs).collect()}
+    classes = {r.doc_id: r.component_id for r in simhash.near_duplicate_classes(docs).collect()}
+    assert {classes[i] for i in range(4)} == {0} and len(plain_kept(rows[:4])) == 4
+    assert kept == {0, 40, *range(10, 30)} == {i for i in plain_kept(rows) if classes[i] == i}
+
+
 def test_names_of_other_columns_pass_through(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(1, text), (2, text), (3, text + " more"), (4, "something else"), (4, "something else"), (None, "lone")]
