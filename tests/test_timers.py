@@ -65,6 +65,20 @@ def test_windows_that_were_jumped_over(spark, tmp_path):
     assert late([(None, T + 101 * H, None)]) == [(1, 48, a)]  # the round is over
 
 
+def test_state_is_kept_by_bucket(spark, tmp_path):
+    """2,000 rounds are no more values and timers than the buckets; ids above 2^53 stay exact, beside rows without one."""
+    big = 1 << 60
+    rows = [(big + i, T, T + dt.timedelta(hours=24, minutes=i % 50)) for i in range(2000)] + [(None, T, None), (big + 5000, T, None)]
+    spark.createDataFrame(rows, KINDS).write.parquet(f"{tmp_path}/in/1")
+    found = timers.reminder_timers(spark.readStream.schema(KINDS).parquet(f"{tmp_path}/in/*"))
+    query = found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination(200)
+    rows_held = max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"])
+    assert rows_held <= 3 * timers.BUCKETS  # a value, and a timer by key and by time
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.round_id, r.lead) for r in got) == [(big + i, 24) for i in range(2000)]
+
+
 def replayed(spark, tmp_path, found, schema):
     found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination(200)
     return sorted(map(tuple, spark.read.schema(schema).parquet(f"{tmp_path}/out").collect()))
