@@ -54,6 +54,7 @@ def quoted_records(lines: DataFrame, order: Column, file: str, block: str, longe
     rows = rows.withColumns({"at": F.row_number().over(w), "__upto": F.sum("__odd").over(w)}).join(counts, [file, block])
     upto = F.col("__upto") + F.col("__before")
     rows = rows.select("value", file, block, "at", upto.alias("__upto"), (upto % 2 == 1).alias("__open"), ((upto - F.col("__odd")) % 2 == 1).alias("__inside"))
+    rows = stored(rows, "csv-lines")  # read three times below
     fault = F.lit(None).cast("string")
     single = rows.filter("not __open and not __inside").select("value", file, block, "at", fault.alias("fault"))
     # an odd line opens a record, the next one closes it
@@ -95,20 +96,24 @@ def parse_applications(lines: DataFrame, rules: list[Rule] | None = None, order:
     the lines that are not blank.  Lines with a ``fault`` (of ``quoted_records``) are errors of that row.
     """
     faults = ["fault"] if "fault" in lines.columns else []
-    rows = numbered_lines(lines, order, file, block, faults).withColumn("f", fields(F.col("line")))
+    # numbered, split and checked once, whatever is read of them below
+    rows = stored(numbered_lines(lines, order, file, block, faults).withColumn("f", fields(F.col("line"))).drop("line"), "csv-fields")
     head = rows.filter("n = 1").select("file", F.transform("f", lambda h: F.lower(trimmed(h))).alias("h"))
     have = F.array(*[F.lit(x) for x in NEEDED])
-    data = rows.filter("n > 1").join(head, "file").select("file", "n", "f", "h", *faults)
+    # where a file has each column, found once a file
+    place = {c: F.when(F.array_contains("h", t.lower()), (F.size("h") - F.array_position(F.reverse("h"), F.lit(t.lower()))).cast("int")) for t, c in HEADER.items()}
+    places = head.select("file", F.struct(*[at.alias(c) for c, at in place.items()]).alias("p"))
+    data = rows.filter("n > 1").join(places, "file").select("file", "n", "f", "p", *faults)
 
-    def named(title: str) -> Column:
-        at = F.size("h") - F.array_position(F.reverse("h"), F.lit(title.lower())) + 1
-        found = F.array_contains("h", title.lower())
-        return F.when(found, F.coalesce(F.get("f", (at - 1).cast("int")), F.lit("")))
+    def named(column: str) -> Column:
+        at = F.col("p")[column]
+        return F.when(at.isNotNull(), F.coalesce(F.get("f", at), F.lit("")))
 
-    parsed = data.select("file", "n", *[named(t).alias(c) for t, c in HEADER.items()], *faults)
+    parsed = data.select("file", "n", *[named(c).alias(c) for c in HEADER.values()], *faults)
     checked = validate(parsed, application_rules() if rules is None else rules)
     if faults:
         checked = checked.withColumn("errors", F.when(F.col("fault").isNull(), F.col("errors")).otherwise(F.array("fault"))).drop("fault")
+    checked = stored(checked, "csv-checked")
     missing = head.select("file", F.array_except(have, F.col("h")).alias("m")).filter(F.size("m") > 0)
     missing = missing.select("file", F.lit(0).alias("n"), F.concat(F.lit("Missing required columns: "), F.array_join("m", ", ")).alias("message"))
     filled = F.count(F.when(trimmed(F.col("value")) != "", 1)).alias("c")

@@ -98,6 +98,15 @@ def test_import_with_quoted_newlines(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_rows_of_an_import_are_split_once(spark):
+    lines = spark.createDataFrame([(csvio.csv_header(), 0, "a"), ("C,P,2024-01-01,Applied", 1, "a"), ("C,,2024-01-01,Applied", 2, "a"), (csvio.csv_header(), 0, "b"), ("D,P,2024-01-01,Applied", 1, "b")], "value string, at long, name string")
+    good, errors = csvio.parse_applications(lines, order=F.col("at"), file="name")
+    assert [(r.file, r.company_name) for r in good.collect()] == [("b", "D")] and [r.message for r in errors.collect()] == ["Row 3: Position title is required"]
+    for df in (good, errors):  # what is left to do neither numbers lines nor splits them
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan and "row_number" not in plan
+
+
 def test_request_bodies(spark):
     bodies = spark.createDataFrame([(1, '{"a": 1, "b": null, "zz": 3}'), (2, '{"a": "no number"}'), (3, "nothing"), (4, None), (5, "{}"), (6, "[1]")], "id int, body string")
     good, bad = requests.parse_bodies(bodies, "a int, b string")
