@@ -86,13 +86,27 @@ def parents_first(keys: Sequence[ForeignKey]) -> list[str]:
     return out
 
 
-def cascade(tables: dict[str, DataFrame], keys: Sequence[ForeignKey], gone: dict[str, DataFrame]) -> dict[str, DataFrame]:
+#: A join sorts about so many rows in a task.
+ROWS_A_TASK = 500_000
+#: Keys of a table of at most so many rows are broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def dealt(df: DataFrame, column: str, rows: int | None) -> DataFrame:
+    """``df``, of about so many ``rows``, by ``column`` over tasks of about ``ROWS_A_TASK``, if the session's shuffle partitions would be larger."""
+    parts = -(-(rows or 0) // ROWS_A_TASK)
+    return df.repartition(parts, column) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def cascade(tables: dict[str, DataFrame], keys: Sequence[ForeignKey], gone: dict[str, DataFrame], rows: dict[str, int] | None = None) -> dict[str, DataFrame]:
     """``tables`` without the rows that ``gone`` names (by key, for each table) and all that refer to them, at any depth.
 
     Level by level, parents first: a row goes if it is named, or if one of its references goes; a null
     reference stays, and so does one to a row that is not there.  Only keys travel, and of a table that no
-    other refers to, none.  Keys that are not in their table are no error.
+    other refers to, none.  Keys that are not in their table are no error.  ``rows``, the sizes of tables as far
+    as they are known, bound what a task of a join holds by more tasks for larger tables.
     """
+    sizes = rows or {}
     out, dead = dict(tables), {}  # dead: for each (table, key) that others refer to, the keys that go
     for t in [*[t for t in parents_first(keys) if t in tables], *[t for t in gone if not any(t in (k.child, k.parent) for k in keys)]]:
         df, named = tables[t], gone.get(t)
@@ -102,12 +116,20 @@ def cascade(tables: dict[str, DataFrame], keys: Sequence[ForeignKey], gone: dict
             lost.append((named.columns[0], named.select(named.columns[0]).distinct()))
         if not lost:
             continue
+        known = {k.column: sizes.get(k.parent) for k in refers}
+
+        def joined(left: DataFrame, column: str, goes: DataFrame, how: str) -> DataFrame:
+            most = known.get(column)
+            if most is not None and most <= BROADCAST_ROWS:
+                return left.join(F.broadcast(goes.toDF(column)), column, how)
+            return dealt(left, column, sizes.get(t)).join(goes.toDF(column), column, how)
+
         left = df
         for column, goes in lost:
-            left = left.join(goes.toDF(column), column, "left_anti")
+            left = joined(left, column, goes, "left_anti")
         out[t] = left.select(*df.columns)
         for key in sorted({k.key for k in keys if k.parent == t}):
-            went = [df.join(goes.toDF(column), column, "left_semi").select(key) for column, goes in lost]
+            went = [joined(df, column, goes, "left_semi").select(key) for column, goes in lost]
             dead[t, key] = reduce(DataFrame.unionByName, went).filter(F.col(key).isNotNull()).distinct()
     return out
 

@@ -544,8 +544,9 @@ union all select 'tasks', cast(id as varchar) from t where user_id not in (selec
 union all select 'documents', cast(id as varchar) from docs where application_id not in (select id from a)""")
 def cascade_profiles(spark, d):
     """Every fifth profile is deleted: its applications go, and with these or with it all rounds, contacts, tasks and documents."""
-    tables = x.domain(spark, d)
-    left = changes.cascade(tables, x.FOREIGN_KEYS, {"profiles": tables["profiles"].filter("id % 5 = 0").select("id")})
+    rows = x.sizes(spark, d)
+    tables = x.domain(spark, d, rows)
+    left = changes.cascade(tables, x.FOREIGN_KEYS, {"profiles": tables["profiles"].filter("id % 5 = 0").select("id")}, rows)
     shown = [df.select(F.lit(t).alias("tbl"), (F.concat_ws("-", "application_id", "round_number", "part", "supplier") if t == "interview_rounds" else F.col("id").cast("string")).alias("k")) for t, df in left.items()]
     return reduce(DataFrame.unionByName, shown)
 

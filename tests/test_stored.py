@@ -169,6 +169,17 @@ def test_cascade_goes_all_the_way(spark):
         changes.parents_first([changes.ForeignKey("a", "x", "b"), changes.ForeignKey("b", "x", "a")])
 
 
+def test_a_cascade_deals_large_tables_over_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(changes, "ROWS_A_TASK", 100)
+    monkeypatch.setattr(changes, "BROADCAST_ROWS", 10)
+    p, q = spark.range(1000), spark.range(4000).selectExpr("id", "id % 1000 a")
+    keys = [changes.ForeignKey("q", "a", "p")]
+    left = changes.cascade({"p": p, "q": q}, keys, {"p": p.filter("id % 5 = 0")}, {"p": 1000, "q": 4000})
+    assert {r.id for r in left["q"].collect()} == {i for i in range(4000) if i % 1000 % 5} and left["p"].count() == 800
+    # 4,000 rows are 40 tasks of 100, whatever the session's number of partitions
+    assert left["q"].select(F.spark_partition_id().alias("k")).distinct().count() > 20
+
+
 def test_policies_of_every_table_and_command(spark):
     assert len(changes.POLICIES) == 24
     df = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, None)], "id int, user_id int")
