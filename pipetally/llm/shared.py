@@ -6,10 +6,11 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -123,8 +124,38 @@ def few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+#: What a worker process keeps from task to task, by name, and the stage that it is kept for.
+_KEPT: dict[str, object] = {}
+_STAGE: list[int | None] = [None]
+
+
+def kept[T](name: str, make: Callable[[], T]) -> T:
+    """What ``make`` gives, once in a worker process for all its tasks of a stage; its first task of another stage lets go of it."""
+    let_go()
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def let_go() -> None:
+    """Drop what this worker process keeps for tasks of another stage than that of the task it is at.
+
+    Workers outlive stages, and an executor has as many as it has cores, so what one stage remembers would
+    count against the memory of every later one.
+    """
+    task = TaskContext.get()
+    now = task.stageId() if task else None
+    if now != _STAGE[0]:
+        _STAGE[0] = now
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into small ones, by rows and by bytes, whatever the session's batch size is."""
+    let_go()
     for b in batches:
         rows = b.num_rows
         step = max(1, min(PIECE_ROWS, int(rows * PIECE_BYTES / max(b.nbytes, 1))))

@@ -28,12 +28,12 @@ from pyspark.sql import Window as W
 from tokenizers import Tokenizer
 
 from pipetally.llm import simple8b
-from pipetally.llm.shared import fresh_path, pieces, reach_workers, written
+from pipetally.llm.shared import fresh_path, kept, pieces, reach_workers, written
 
 MAGIC, BLOCK_IDS, SHARD_IDS = b"PTS8B001", 16_384, 4_000_000
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
-#: Encoded words and pieces of words that a worker remembers (about 200 bytes each); then it starts afresh.
-WORDS, PIECES = 500_000, 600_000
+#: Encoded words and pieces of words that a worker remembers in a stage (about 150 bytes each); then it starts afresh.
+WORDS = 500_000
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _LATIN = re.compile(r"[\x21-\x7e\xa1-\xff]+")
@@ -101,25 +101,31 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_words = encodes_by_words(json.loads(Path(path).read_text()))
         self.model = self.tokenizer.model
-        self.words, self.pieces = _Words(self._word), _Words(self._piece)
+        self.words = _Words(self._word)  # and pieces of words: a word that is a piece has the same ids
 
     def _plain(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
+    def _alone(self, piece: str) -> bytes:
         # a piece is what the tokenizer's own pattern finds, so the model alone can encode it
         return array("I", [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(_LETTERS))]).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        ids = self.words.get(piece)
+        if ids is None:
+            self.words[piece] = ids = self._alone(piece)
+        return ids
+
     def _word(self, word: str) -> bytes:
         # Latin-1 is in normal form, and lower-casing keeps its letters letters; special tokens hold "<|"
         if not _LATIN.fullmatch(word) or "<|" in word:
             return self._plain(word)
         low = word.lower()
         if low.isalpha():  # what the pattern finds are runs of letters
-            return self.pieces[low]
+            return self._alone(low) if low == word else self._piece(low)
         if low[:-1].isalpha() and low[-1] in _MARKS:
-            return self.pieces[low[:-1]] + self.pieces[low[-1]]
-        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(low)))
+            return self._piece(low[:-1]) + self._piece(low[-1])
+        return b"".join(map(self._piece, _PIECE.findall(low)))
 
     def encode(self, text: str) -> np.ndarray:
         if not self.by_words or _ODD_SPACE.search(text):
@@ -129,19 +135,12 @@ class WordEncoder:
         ids = b"".join(map(self.words.__getitem__, text.split()))
         if len(self.words) > WORDS:
             self.words.clear()
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
         return np.frombuffer(ids, dtype="<u4")
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """One encoder a worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """One encoder for the tasks of a stage in a worker process."""
+    return kept(f"encoder {path}", lambda: WordEncoder(path))
 
 
 def pack(doc_ids: list[int | None], texts: list[np.ndarray]) -> bytes:

@@ -1,5 +1,7 @@
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pathlib import Path
+import gc
 import json
 import zlib
 
@@ -11,6 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from pipetally.llm import simple8b, token_files
+from pipetally.llm.shared import pieces, reach_workers
 
 WIDE = st.one_of(st.integers(0, 1), st.integers(0, 300), st.integers(0, 60_000), st.integers(0, 2**60 - 1), st.integers(2**60, 2**64 - 1))
 
@@ -129,3 +132,23 @@ def test_a_repeated_task_leaves_the_same_file(tmp_path):
     assert not (tmp_path / "b").exists()
     with pytest.raises(OSError):
         token_files.publish(Keeps(), str(tmp_path / "c"), str(tmp_path / "file"))
+
+
+def test_a_worker_forgets_the_words_of_an_earlier_stage(spark):
+    """Else what the encoders remember counts against the memory of every later stage."""
+    reach_workers(spark)
+    path = public_tokenizers.path(token_files.TOKENIZER)
+
+    def encode(batches):
+        for b in pieces(batches):
+            token_files.encoder(path).encode("some words")
+            yield b
+
+    def held(batches):
+        for b in pieces(batches):
+            n = sum(type(o).__name__ == "WordEncoder" for o in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([n] * b.num_rows, pa.int64())], names=["id"])
+
+    ids = spark.range(40)
+    assert ids.mapInArrow(encode, "id long").count() == 40
+    assert {r.id for r in ids.mapInArrow(held, "id long").collect()} == {0}
